@@ -44,7 +44,7 @@ from lakelens.llm import textvec as tv
 from lakelens.llm.common import Scratch
 
 U64 = tv.U64
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _SKETCH_BITS = 1024
 
 
@@ -175,17 +175,23 @@ def _prune(percent: int):
 
 
 def _cross_blocks(percent: int):
-    """Pairs across components within each (key, lo, hi) block, past the sketch bound.
+    """Pairs across components within each (x, y, lo, hi) block, past the sketch bound.
     Rows come sorted by that key; a block's rows are bounded by twice the block size."""
 
     def block(rows: dict[str, np.ndarray]) -> np.ndarray:
         side, comp, node, n, bits = (rows[k] for k in ("side", "comp", "node", "n", "bits"))
+        lefts, rights, x, y = rows["lefts"], rows["rights"], rows["x"][0], rows["y"][0]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             left, right = np.arange(len(side)), np.arange(len(side))
         found = []
         for i in left:
             js = right[(comp[right] != comp[i]) & (node[right] != node[i])]
+            # of the tables a pair shares, the first is where it is compared
+            for keys, own in ((lefts, x), (rights, y)):
+                if len(js):
+                    same = keys[js] == keys[i]
+                    js = js[keys[i][same.argmax(axis=1)] == own]
             if not len(js):
                 continue
             differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -199,7 +205,7 @@ def _cross_blocks(percent: int):
         held: dict[str, np.ndarray] | None = None
 
         def done(rows: dict[str, np.ndarray], last: bool):
-            key = np.stack([rows["key"], rows["lo"], rows["hi"]], axis=1)
+            key = np.stack([rows["x"], rows["y"], rows["lo"], rows["hi"]], axis=1)
             cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
             edges = [0, *cut.tolist(), len(key)]
             stop = len(edges) - 1 if last else len(edges) - 2
@@ -213,8 +219,10 @@ def _cross_blocks(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            now = {k: b.column(k).to_numpy() for k in ("key", "lo", "hi", "side", "comp", "node", "n")}
+            now = {k: b.column(k).to_numpy() for k in ("x", "y", "lo", "hi", "side", "comp", "node", "n")}
             now["bits"] = _bits(b.column("sketch"))
+            for k in ("lefts", "rights"):
+                now[k] = b.column(k).flatten().to_numpy().reshape(b.num_rows, -1)
             held = now if held is None else {k: np.concatenate([held[k], now[k]]) for k in now}
             pairs, held = done(held, False)
             yield give(pairs)
@@ -302,11 +310,9 @@ def components(links: DataFrame, scratch: Scratch, tag: str, most_rounds: int =
     raise RuntimeError("components did not settle")
 
 
-def _keys(left: str, right: str):
-    return F.transform(
-        F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct(x.alias("x"), y.alias("y"))))),
-        lambda q: F.xxhash64(q["x"], q["y"]),
-    )
+def _keys(left, right):
+    """All (left bundle, right bundle) table keys of a node."""
+    return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -338,15 +344,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
                 _keys(F.array_intersect("left_keys", "shared"), F.array_intersect("right_keys", "shared"))
             ).alias("key"),
         )
+        .select("node", "key.x", "key.y")
     )
     tables = scratch.keep(tables, "tables")
     buckets = scratch.keep(
-        tables.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"),
+        tables.groupBy("x", "y").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"),
         "buckets",
     )
     # two small aggregates on both sides of the join would hide its skew: they are written above
     stars = (
-        tables.join(buckets.select("key", "head"), "key")
+        tables.join(buckets.select("x", "y", "head"), ["x", "y"])
         .where("node <> head")
         .select(F.col("head").alias("a"), F.col("node").alias("b"))
         .distinct()
@@ -355,36 +362,46 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
     first = components(links, scratch, "star")
     # buckets that still hold several components
     labelled = scratch.keep(
-        tables.join(buckets.select("key"), "key")
+        tables.join(buckets.select("x", "y"), ["x", "y"])
         .join(first, "node", "left")
-        .select("key", "node", F.coalesce("comp", "node").alias("comp")),
+        .select("x", "y", "node", F.coalesce("comp", "node").alias("comp")),
         "labelled",
     )
     mixed = scratch.keep(
-        labelled.groupBy("key")
+        labelled.groupBy("x", "y")
         .agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low < high")
-        .select("key", F.ceil(F.col("members") / p.block).cast("int").alias("blocks")),
+        .select("x", "y", F.ceil(F.col("members") / p.block).cast("int").alias("blocks")),
         "mixed",
     )
     spread = (
-        labelled.join(mixed, "key")
+        labelled.join(mixed, ["x", "y"])
         .withColumn("blk", F.pmod(F.xxhash64("node", F.lit(p.seed)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
-            "key",
+            "x",
+            "y",
             F.least("blk", "other").alias("lo"),
             F.greatest("blk", "other").alias("hi"),
             (F.col("blk") > F.col("other")).cast("int").alias("side"),
             "node",
             "comp",
         )
-        .join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
-        .select("key", "lo", "hi", "side", "node", "comp", "n", "sketch")
+        .join(
+            nodes.select(
+                "node",
+                F.col("n_shingles").alias("n"),
+                "sketch",
+                F.col("left_keys").alias("lefts"),
+                F.col("right_keys").alias("rights"),
+            ),
+            "node",
+        )
+        .select("x", "y", "lo", "hi", "side", "node", "comp", "n", "sketch", "lefts", "rights")
     )
     crossing = (
-        spread.repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi")
+        spread.repartition("x", "y", "lo", "hi")
+        .sortWithinPartitions("x", "y", "lo", "hi")
         .mapInArrow(_cross_blocks(p.percent), "a long, b long")
         .distinct()
     )
