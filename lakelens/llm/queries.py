@@ -6,17 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import minhash
+from lakelens.llm import linecrf, minhash, rindex, secrets
 from lakelens.llm.common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = linecrf.train(docs, table(spark, sf_dir, "labels"))
+    return linecrf.score(docs, field)
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rindex.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+    return {
+        "op1_secret_scans": op1_secret_scans,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
