@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakelens.llm import linecrf, minhash, rindex, secrets
+from lakelens.llm import linecrf, lm, minhash, mixing, packing, rindex, secrets, sharding, tokenfile, topk
 from lakelens.llm.common import table
 
 
@@ -19,6 +20,25 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(spark, table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = linecrf.train(docs, table(spark, sf_dir, "labels"))
@@ -30,14 +50,50 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write(spark, table(spark, sf_dir, "documents"))
+    return tokenfile.read_digests(spark, manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_secret_scans": op1_secret_scans,
-        "op2_minhash_near_dedup": op2_minhash_near_dedup,
-        "op7_quality_rules": op7_quality_rules,
-        "op8_suffix_array_dedup": op8_suffix_array_dedup,
-    }
+    every = (
+        op1_secret_scans,
+        op2_minhash_near_dedup,
+        op3_karmarkar_karp_sharding,
+        op4_lm_scoring,
+        op5_best_fit_packing,
+        op6_exact_top_k,
+        op7_quality_rules,
+        op8_suffix_array_dedup,
+        op9_source_mixing,
+        op10_token_files,
+    )
+    return {q.__name__: q for q in every}
+
+
+_OP6 = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), part AS (
+  SELECT vec_id, unnest(c) AS x, unnest(range(len(c))) AS i FROM v
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+  FROM part q JOIN part d ON q.i = d.i AND q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT query_id, vec_id, score,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_top_k": _OP6}
