@@ -1,12 +1,14 @@
 """Fast exact encoding of whole texts with a byte-level BPE tokenizer file.
 
 The tokenizers' pre-tokens never run from a visible character into a following
-space, so a text may be cut there and its pieces encoded apart.  Natural text
-repeats its pieces, so a batch's distinct pieces are encoded once and the ids
-gathered by numpy.  Cuts are made only before a space whose preceding character
-is visible ASCII or a two-byte letter (lead bytes C3-DF), where every
-definition of white space agrees; texts with a special token's marker are
-encoded in one piece.
+space, so a text may be cut there and its pieces encoded apart, or joined with
+others.  Natural text repeats its pieces, so distinct pieces are encoded once a
+process, many in one joined text, and the ids gathered by numpy; a joined
+text's ids fall back into pieces by the bytes each id stands for.  Cuts are made
+only before a space whose preceding character is visible ASCII or a two-byte
+letter (lead bytes C3-DF), where every definition of white space agrees, and
+between an ASCII letter and ASCII punctuation, which no pre-token spans; texts
+with a special token's marker are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ import pyarrow as pa
 from lakelens.llm import textvec as tv
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[bytes, np.ndarray]] = {}
+_memories: dict[str, _Memory] = {}
 #: Distinct pieces a worker process remembers; past it the memory starts anew.
-_REMEMBER = 300_000
+_REMEMBER = 1_000_000
+_LONG = 64  # bytes; longer pieces are rare and not remembered
+_JOINED = 1000  # pieces to a joined text
 
 
 def default_path() -> str:
@@ -40,6 +44,63 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+class _Memory:
+    """Ids of pieces seen before: rows of one growing pool."""
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():  # byte-level tokens have a character a byte
+            self.width[i] = len(token)
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.start = np.zeros(1 << 16, dtype=np.int64)
+        self.size = np.zeros(1 << 16, dtype=np.int64)
+        self.n = self.used = 0
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(pieces), self.used + len(ids)
+        while used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+        self.pool[self.used : used] = ids
+        self.size[self.n : n] = sizes
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.rows.update(zip(pieces, range(self.n, n)))
+        self.n, self.used = n, used
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        """Pool row of each piece, encoding what is new."""
+        if self.n > _REMEMBER:
+            self.clear()
+        fresh = [x for x in pieces if x not in self.rows]
+        free = [x for x in fresh if len(x) <= _LONG and _joinable(x)]
+        for at in range(0, len(free), 64 * _JOINED):
+            part = free[at : at + 64 * _JOINED]
+            texts = [b"".join(part[i : i + _JOINED]).decode() for i in range(0, len(part), _JOINED)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+            last = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1  # ids up to each piece's end
+            self._add(part, ids, np.diff(last, prepend=0))
+        rest = [x for x in fresh if x not in self.rows]
+        if rest:
+            got = [e.ids for e in self.tok.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
+            self._add(rest, np.array([i for e in got for i in e], dtype=np.uint32), np.array([len(e) for e in got]))
+        return np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+
+
+def _joinable(x: bytes) -> bool:
+    """Whether a piece starts at a safe cut and leaves one at its end."""
+    tail = x[-1]
+    safe = 0x21 <= tail < 0x7F or (0x80 <= tail < 0xC0 and 0xC3 <= x[-2] < 0xE0)
+    return x[0] == 0x20 and len(x) > 2 and safe and b"<|" not in x
+
+
 def vocabulary_size(path: str) -> int:
     return tokenizer(path).get_vocab_size(with_added_tokens=True)
 
@@ -50,13 +111,19 @@ _LEAD = np.zeros(256, dtype=bool)
 _LEAD[0xC3:0xE0] = True
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PUNCT = _VISIBLE & ~_LETTER
+_PUNCT[0x30:0x3A] = False
+
+
 def _cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where pieces begin: each row's start and every safe space."""
+    """Where pieces begin: each row's start and every safe place inside."""
     flag = np.zeros(len(buf) + 1, dtype=bool)
     if len(buf) > 2:
         before = _VISIBLE[buf[:-1]]
         before[1:] |= (buf[1:-1] >= 0x80) & (buf[1:-1] < 0xC0) & _LEAD[buf[:-2]]
-        flag[1:-1] = (buf[1:] == 0x20) & before
+        flag[1:-1] = ((buf[1:] == 0x20) & before) | (_PUNCT[buf[1:]] & _LETTER[buf[:-1]])
     flag[off[:-1]] = True
     flag[len(buf)] = False
     return np.flatnonzero(flag)
@@ -64,7 +131,6 @@ def _cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def encode(col: pa.Array, path: str, last: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets): each row's ids with ``last`` appended; a null row has only that."""
-    tok = tokenizer(path)
     buf, off = tv.column_bytes(col)
     rows = len(off) - 1
     marked = np.zeros(rows, dtype=bool)
@@ -81,26 +147,14 @@ def encode(col: pa.Array, path: str, last: int) -> tuple[np.ndarray, np.ndarray]
         len(begin),
         [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))],
     ).dictionary_encode()
-    known = _known.setdefault(path, {})
-    if len(known) > _REMEMBER:
-        known.clear()
-    distinct = pieces.dictionary.to_pylist()
-    fresh = [x for x in distinct if x not in known]
-    short = [x for x in fresh if len(x) <= 64]
-    for some in (short, [x for x in fresh if len(x) > 64]):
-        got = tok.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-        if some is short:
-            known.update((x, np.array(e.ids, dtype=np.uint32)) for x, e in zip(some, got))
-        else:
-            rare = dict(zip(some, (np.array(e.ids, dtype=np.uint32) for e in got)))
-    parts = [known[x] if len(x) <= 64 else rare[x] for x in distinct]
-    if not parts:
+    if not len(begin):
         return np.full(rows, last, dtype=np.uint32), np.arange(rows + 1)
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    pool = np.concatenate(parts)
-    pool_at = np.cumsum(sizes) - sizes
-    use = pieces.indices.to_numpy()
-    n = sizes[use]
+    if path not in _memories:
+        _memories[path] = _Memory(path)
+    memory = _memories[path]
+    rows_of = memory.find(pieces.dictionary.to_pylist())
+    use = rows_of[pieces.indices.to_numpy()]
+    n = memory.size[use]
     # piece and end-token lengths interleaved per row
     row_first = np.searchsorted(begin, off)
     per_row = np.concatenate(([0], np.cumsum(n)))[row_first]
@@ -108,7 +162,7 @@ def encode(col: pa.Array, path: str, last: int) -> tuple[np.ndarray, np.ndarray]
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     ids = np.full(int(offsets[-1]), last, dtype=np.uint32)
     total = int(n.sum())
-    source = np.repeat(pool_at[use] - (np.cumsum(n) - n), n) + np.arange(total)
+    source = np.repeat(memory.start[use] - (np.cumsum(n) - n), n) + np.arange(total)
     target = np.arange(total) + np.repeat(np.arange(rows), np.diff(per_row))
-    ids[target] = pool[source]
+    ids[target] = memory.pool[source]
     return ids, offsets
