@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakelens.queries import ORACLES, QUERIES
+
 FLAGSHIP = "sql_three_way_join"
+_MODULES = ("sql", "state", "rules")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"lakelens.queries.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)

@@ -1,0 +1 @@
+"""Reading and writing of metadata and data tables."""
