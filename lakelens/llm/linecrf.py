@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lakelens.llm import textvec as tv
 
 U64 = tv.U64
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _SYMBOLS = b"#*$%&|<>"
 
 

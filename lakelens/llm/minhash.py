@@ -44,7 +44,7 @@ from lakelens.llm import textvec as tv
 from lakelens.llm.common import Scratch
 
 U64 = tv.U64
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _SKETCH_BITS = 1024
 
 

@@ -37,7 +37,7 @@ from lakelens.llm import textvec as tv
 from lakelens.llm import tokens
 from lakelens.llm.common import Scratch
 
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
 @dataclass(frozen=True)

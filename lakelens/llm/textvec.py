@@ -11,6 +11,8 @@ words; very long texts are handled whole (batches are cut between rows only).
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,6 +105,15 @@ def slices_by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and what their
+    allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @dataclass

@@ -46,7 +46,7 @@ from lakelens.llm import tokens
 from lakelens.llm.common import shared_folder, shuffle_tasks
 
 U64 = tv.U64
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _MARK = b"TOKSHRD1"
 _SLOT = np.dtype([("print", "<u4"), ("run", "<u4"), ("first", "<u8")])
 

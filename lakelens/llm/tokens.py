@@ -23,7 +23,7 @@ from lakelens.llm import textvec as tv
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, _Memory] = {}
 #: Distinct pieces a worker process remembers; past it the memory starts anew.
-_REMEMBER = 1_000_000
+_REMEMBER = 500_000
 _LONG = 64  # bytes; longer pieces are rare and not remembered
 _JOINED = 1000  # pieces to a joined text
 
