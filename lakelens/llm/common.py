@@ -16,8 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of at most about ``most`` bytes in this session: texts may be long, and
+    both sides of the pipe to Python hold whole batches."""
+    now = int("".join(c for c in spark.conf.get(_BATCH_BYTES) if c.isdigit()) or 0)
+    if not 0 < now <= most:
+        spark.conf.set(_BATCH_BYTES, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder's path; set for this session only where it is unset."""
+    bounded_batches(spark)
     place = spark.conf.get(_SETTING, None)
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="shared-")

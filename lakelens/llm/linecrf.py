@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakelens.llm import textvec as tv
+from lakelens.llm.common import bounded_batches
 
 U64 = tv.U64
 _SLICE = 2 << 20
@@ -280,6 +281,7 @@ def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Field:
     """Fit on at most ``p.sample`` labelled documents of each quality."""
+    bounded_batches(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     picked = None
     for quality in (0, 1):
@@ -323,6 +325,7 @@ def score(docs: DataFrame, field: Field, p: Params = Params()) -> DataFrame:
                 yield pa.record_batch([part.column(0), *(pa.array(out[k]) for k in names)], names=["doc_id", *names])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, _VERDICT)
 
 
@@ -334,4 +337,5 @@ def keep_good(docs: DataFrame, field: Field, p: Params = Params()) -> DataFrame:
             for part in tv.slices_by_bytes(batch, "text", _SLICE):
                 yield part.filter(pa.array(_verdict(part, field, p)[1]["kept"]))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
