@@ -23,7 +23,7 @@ from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +61,30 @@ class Machine:
         return done
 
 
+    # -- state between micro-batches
+
+    def dump(self) -> str:
+        """All of the machine as JSON; tuple keys become pairs."""
+        out = {}
+        for k, v in vars(self).items():
+            if isinstance(v, set):
+                v = {"set": sorted(v)}
+            elif isinstance(v, dict) and any(isinstance(x, tuple) for x in v):
+                v = {"pairs": [[*k2, x] for k2, x in v.items()]}
+            out[k] = v
+        return json.dumps(out)
+
+    def load(self, text: str) -> None:
+        for k, v in json.loads(text).items():
+            if isinstance(v, dict) and set(v) == {"set"}:
+                v = set(v["set"])
+            elif isinstance(v, dict) and set(v) == {"pairs"}:
+                v = {tuple(x[:-1]): x[-1] for x in v["pairs"]}
+            elif isinstance(getattr(self, k, None), defaultdict):
+                v = defaultdict(list, v)
+            setattr(self, k, v)
+
+
 def handles(table: dict[str, Handler], *kinds: str) -> Callable[[Handler], Handler]:
     def add(f: Handler) -> Handler:
         table.update(dict.fromkeys(kinds, f))
@@ -520,20 +544,39 @@ MACHINES: dict[str, type] = {"run_id": RunMachine, "sensor_id": SensorMachine, "
 
 def fold_events(events: DataFrame, by: str) -> DataFrame:
     """Final rows of every key's machine as JSON, by entity.  ``events`` carry the key in
-    column ``by`` (run_id, sensor_id or backfill_id)."""
+    column ``by`` (run_id, sensor_id or backfill_id).  Keys are dealt out by hash and come
+    to their task in order, so a machine holds one key's rows and no more."""
     make = MACHINES[by]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = make(key[0])
-        pdf = pdf.sort_values("event_id", kind="stable").drop_duplicates("event_id")
-        for row in pdf.itertuples(index=False):
-            m.feed(row.event_id, row.event_type, row.idempotency_key, row.ts, row.payload)
-        out = [(key[0], e, k, r.get("row_version"), json.dumps(r, sort_keys=True)) for e, k, r in _rows_of(m, key[0])]
-        return pd.DataFrame(out, columns=["fold_key", "entity", "entity_key", "row_version", "state"])
+    names = ("event_id", "event_type", "idempotency_key", "ts", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, now, last = None, None, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            if machine is not None:
+                out.extend((now, e, k, r.get("row_version"), json.dumps(r, sort_keys=True)) for e, k, r in _rows_of(machine, now))
+
+        def give() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [[]] * 5
+            out.clear()
+            return pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["fold_key", "entity", "entity_key", "row_version", "state"])
+
+        for batch in batches:
+            for key, *event in zip(batch.column(by).to_pylist(), *(batch.column(n).to_pylist() for n in names)):
+                if key != now:
+                    close()
+                    machine, now, last = make(key), key, None
+                if event[0] != last:  # a repeated event id counts once
+                    machine.feed(*event)
+                    last = event[0]
+            yield give()
+        close()
+        yield give()
 
     wanted = events.where(F.col(by).isNotNull() & F.col("event_id").isNotNull() & F.col("event_type").isin(*make.on))
-    slim = wanted.select(F.col(by), "event_id", "event_type", "idempotency_key", "ts", "payload")
-    return slim.groupBy(by).applyInPandas(run, FOLDED)
+    slim = wanted.select(F.col(by).cast("string").alias(by), "event_id", "event_type", "idempotency_key", F.col("ts").cast("long").alias("ts"), "payload")
+    return slim.repartition(by).sortWithinPartitions(by, "event_id").mapInArrow(run, FOLDED)
 
 
 def entity(folded: DataFrame, name: str, schema: str, key: str) -> DataFrame:

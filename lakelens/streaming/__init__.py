@@ -1,0 +1 @@
+"""Structured Streaming over ledgers and event tables."""
