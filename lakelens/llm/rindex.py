@@ -130,29 +130,36 @@ def segments_of(buf: np.ndarray, off: np.ndarray, p: Params, seeds: tuple[int, .
     }
 
 
-def _suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` bytes within their segment, ties by
-    position.  ``left``: bytes from each position to its segment's end."""
+def _suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes in order of their bytes up to their segment's end, ties by position.
+    ``left``: bytes from each position to its segment's end.
+
+    Prefix doubling from six bytes on; only positions still tied are sorted again, and a
+    tied position's rank is the first row of its group."""
     n = len(text)
-    # eight bytes at once, positions past the segment's end read as 0 with a length tag
-    pad = np.concatenate([text.astype(np.uint16) + 1, np.zeros(8, np.uint16)])
+    pad = np.concatenate([text.astype(np.uint16) + 1, np.zeros(6, np.uint16)])
+    first = np.zeros(n, dtype=np.int64)
+    for k in range(6):  # past the segment's end read as 0
+        first = first * 257 + np.where(left > k, pad[k : n + k], 0)
+    order = np.argsort(first, kind="stable")
     rank = np.zeros(n, dtype=np.int64)
-    for k in range(6):
-        rank = rank * 257 + np.where(left > k, pad[k : n + k], 0)
-    order = np.argsort(rank, kind="stable")
-    have = 6
-    ranks = np.zeros(n + 1, dtype=np.int64)
+    rows, key = np.arange(n), first[order]
+    have, deepest = 6, int(left.max(initial=0))
     while True:
-        ordered = rank[order]
-        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        value = np.cumsum(fresh)
-        if value[-1] == n or have >= depth:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        rank[order[rows]] = rows[start][group] + 1
+        tied = np.diff(np.append(start, len(rows)))[group] > 1
+        rows = rows[tied]
+        if not len(rows) or have >= deepest:
             return order
-        ranks[order] = value
-        far = np.arange(n) + have
-        second = np.where(left > have, ranks[np.minimum(far, n)], 0)
-        rank = ranks[:n] * (n + 1) + second
-        order = np.argsort(rank, kind="stable")
+        at = order[rows]
+        ahead = np.where(left[at] > have, rank[np.minimum(at + have, n - 1)], 0)
+        key = rank[at] * (n + 1) + ahead
+        again = np.argsort(key, kind="stable")
+        order[rows] = at[again]
+        key = key[again]
         have *= 2
 
 
@@ -183,8 +190,8 @@ class RunIndex:
     runs: int
 
     @staticmethod
-    def build(text: np.ndarray, left: np.ndarray, depth: int) -> RunIndex:
-        order = _suffix_array(text, left, depth)
+    def build(text: np.ndarray, left: np.ndarray) -> RunIndex:
+        order = _suffix_array(text, left)
         # the symbol before each suffix; a segment's first suffix has a symbol of its own
         begins = np.zeros(len(text), dtype=bool)
         begins[0] = True
@@ -196,10 +203,10 @@ class RunIndex:
         return RunIndex(order[cut], order[cut - 1], order[cut - 1], order[cut], len(cut) + 1)
 
 
-def matching_statistics(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """For each position the longest match, up to ``depth``, with any other position;
-    from the samples at run ends, streamed in text order."""
-    index = RunIndex.build(text, left, depth)
+def matching_statistics(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each position the longest match with any other position; from the samples at run
+    ends, streamed in text order."""
+    index = RunIndex.build(text, left)
     at = np.arange(len(text))
     best = np.zeros(len(text), dtype=np.int64)
     for suffix, other in ((index.head, index.before), (index.tail, index.after)):
@@ -271,14 +278,12 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _match_segments(p: Params):
     """Rows come by key; whole keys are gathered into collections of a few megabytes,
     each indexed at once.  Gives the matching windows of each segment."""
-    depth = p.length
-
     def matched(keys: list, contents: list, data: list) -> pa.RecordBatch:
         size = np.array([len(x) for x in data], dtype=np.int64)
         text = np.frombuffer(b"".join(data), dtype=np.uint8)
         end = np.cumsum(size)
         left = np.repeat(end, size) - np.arange(len(text))
-        hit = matching_statistics(text, left, depth) >= depth
+        hit = matching_statistics(text, left) >= p.length
         starts, ends = [], []
         for a, z in zip((end - size).tolist(), end.tolist()):
             s, e = _intervals(hit[a:z])
