@@ -14,6 +14,7 @@ with a special token's marker are encoded in one piece.
 from __future__ import annotations
 
 import os
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,7 @@ from lakelens.llm import textvec as tv
 _tokenizers: dict[str, object] = {}
 _memories: dict[str, _Memory] = {}
 #: Distinct pieces a worker process remembers; past it the memory starts anew.
-_REMEMBER = 500_000
-_LONG = 64  # bytes; longer pieces are rare and not remembered
+_REMEMBER = 600_000
 _JOINED = 1000  # pieces to a joined text
 
 
@@ -45,7 +45,11 @@ def tokenizer(path: str):
 
 
 class _Memory:
-    """Ids of pieces seen before: rows of one growing pool."""
+    """Ids of pieces seen before: rows of one growing pool, about 40 bytes a piece.
+
+    A piece is known by its 64-bit hash, its length and its first eight bytes; one that
+    shares only the hash with another is encoded anew each time.
+    """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
@@ -56,42 +60,91 @@ class _Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[bytes, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)  # sorted
+        self.row = np.zeros(0, dtype=np.int64)  # of each key
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
+        self.cols = {k: np.zeros(1 << 16, dtype=t) for k, t in _COLUMNS.items()}
         self.n = self.used = 0
 
-    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = self.n + len(pieces), self.used + len(ids)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, length: np.ndarray, head: np.ndarray) -> np.ndarray:
+        n, used = self.n + len(sizes), self.used + len(ids)
         while used > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+        while n > len(self.cols["start"]):
+            self.cols = {k: np.concatenate([v, np.zeros_like(v)]) for k, v in self.cols.items()}
         self.pool[self.used : used] = ids
-        self.size[self.n : n] = sizes
-        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
-        self.rows.update(zip(pieces, range(self.n, n)))
+        new = {"start": self.used + np.cumsum(sizes) - sizes, "size": sizes, "length": length, "head": head}
+        for k, v in new.items():
+            self.cols[k][self.n : n] = v
+        rows = np.arange(self.n, n)
         self.n, self.used = n, used
-
-    def find(self, pieces: list[bytes]) -> np.ndarray:
-        """Pool row of each piece, encoding what is new."""
-        if self.n > _REMEMBER:
-            self.clear()
-        fresh = [x for x in pieces if x not in self.rows]
-        free = [x for x in fresh if len(x) <= _LONG and _joinable(x)]
-        for at in range(0, len(free), 64 * _JOINED):
-            part = free[at : at + 64 * _JOINED]
+        return rows
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece)."""
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        free = np.fromiter(map(_joinable, pieces), bool, len(pieces))
+        parts: dict[bool, np.ndarray] = {}
+        some = list(compress(pieces, free))
+        chunks, counts = [], []
+        for at in range(0, len(some), 64 * _JOINED):
+            part = some[at : at + 64 * _JOINED]
             texts = [b"".join(part[i : i + _JOINED]).decode() for i in range(0, len(part), _JOINED)]
             ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
             last = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1  # ids up to each piece's end
-            self._add(part, ids, np.diff(last, prepend=0))
-        rest = [x for x in fresh if x not in self.rows]
+            chunks.append(ids)
+            counts.append(np.diff(last, prepend=0))
+        if chunks:
+            parts[True] = np.concatenate(chunks)
+            sizes[free] = np.concatenate(counts)
+        rest = [e.ids for e in self.tok.encode_batch_fast([x.decode() for x in compress(pieces, ~free)], add_special_tokens=False)] if not free.all() else []
         if rest:
-            got = [e.ids for e in self.tok.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
-            self._add(rest, np.array([i for e in got for i in e], dtype=np.uint32), np.array([len(e) for e in got]))
-        return np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+            parts[False] = np.array([i for e in rest for i in e], dtype=np.uint32)
+            sizes[~free] = [len(e) for e in rest]
+        if len(parts) == 1:
+            return next(iter(parts.values())), sizes
+        out = np.zeros(int(sizes.sum()), dtype=np.uint32)
+        kind = np.repeat(free, sizes)
+        for k, ids in parts.items():
+            out[kind == k] = ids
+        return out, sizes
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Pool row of each of the distinct pieces, encoding what is new."""
+        if self.n > _REMEMBER:
+            self.clear()
+        buf, off = tv.column_bytes(pieces)
+        begin, end = off[:-1], off[1:]
+        length = end - begin
+        key = tv.span_hash(tv.prefix_hash(buf), begin, end)
+        head = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)[begin].copy()
+        head = head.view("<u8").ravel() & _HEADS[np.minimum(length, 8)]
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        rows = np.full(len(key), -1, dtype=np.int64)
+        if len(self.keys):
+            same = self.keys[at] == key
+            rows[same] = self.row[at[same]]
+            rows[same & ((self.cols["length"][rows] != length) | (self.cols["head"][rows] != head))] = -1
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            raw = buf.tobytes()
+            ids, sizes = self._encode([raw[a:z] for a, z in zip(begin[new].tolist(), end[new].tolist())])
+            rows[new] = self._add(ids, sizes, length[new], head[new])
+            # the first of each hash is remembered, unless the hash is taken already
+            fresh, first = np.unique(key[new], return_index=True)
+            if len(self.keys):
+                free = self.keys[np.minimum(np.searchsorted(self.keys, fresh), len(self.keys) - 1)] != fresh
+                fresh, first = fresh[free], first[free]
+            both = np.concatenate([self.keys, fresh])
+            order = np.argsort(both, kind="stable")
+            self.keys, self.row = both[order], np.concatenate([self.row, rows[new][first]])[order]
+        return rows
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_HEADS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_COLUMNS = {"start": np.int64, "size": np.int32, "length": np.int32, "head": np.uint64}
 
 
 def _joinable(x: bytes) -> bool:
@@ -152,9 +205,8 @@ def encode(col: pa.Array, path: str, last: int) -> tuple[np.ndarray, np.ndarray]
     if path not in _memories:
         _memories[path] = _Memory(path)
     memory = _memories[path]
-    rows_of = memory.find(pieces.dictionary.to_pylist())
-    use = rows_of[pieces.indices.to_numpy()]
-    n = memory.size[use]
+    use = memory.find(pieces.dictionary)[pieces.indices.to_numpy()]
+    n = memory.cols["size"][use].astype(np.int64)
     # piece and end-token lengths interleaved per row
     row_first = np.searchsorted(begin, off)
     per_row = np.concatenate(([0], np.cumsum(n)))[row_first]
@@ -162,7 +214,7 @@ def encode(col: pa.Array, path: str, last: int) -> tuple[np.ndarray, np.ndarray]
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     ids = np.full(int(offsets[-1]), last, dtype=np.uint32)
     total = int(n.sum())
-    source = np.repeat(memory.start[use] - (np.cumsum(n) - n), n) + np.arange(total)
+    source = np.repeat(memory.cols["start"][use] - (np.cumsum(n) - n), n) + np.arange(total)
     target = np.arange(total) + np.repeat(np.arange(rows), np.diff(per_row))
     ids[target] = memory.pool[source]
     return ids, offsets
