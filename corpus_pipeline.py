@@ -6,8 +6,8 @@ columns of ``documents``.
 
 1. quality rules: documents that fail the base rules or whose lines are mostly
    boilerplate go;
-2. MinHash near-dedup: of each group of near-duplicates the document with the
-   smallest id stays;
+2. MinHash near-dedup: of each group of documents whose five-word shingles are at
+   least 0.8 alike the one with the smallest id stays;
 3. secret scans: secrets, also encoded ones, are replaced by a tag;
 4. mixing: documents are repeated or left out, whole, to meet the source weights;
 5. best-fit packing: texts become pieces of sequences of 1024 ids.
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_duplicates(spark, docs)
+    return minhash.drop_near_duplicates(spark, docs, minhash.Params(percent=80))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
