@@ -4,7 +4,7 @@ import random
 import pytest
 
 from lakelens.operators import fold
-from lakelens.operators.metastore import CatalogState, FoldError, fold_catalog, object_names, principal_names, replay, safe_objects
+from lakelens.operators.metastore import FoldError, fold_catalog, object_names, principal_names, replay, safe_objects
 from lakelens.streaming.folds import fold_stream
 
 EVENTS = "run_id string, event_id string, event_type string, idempotency_key string, ts long, payload string"
