@@ -58,7 +58,7 @@ class Params:
     percent: int = 85
     collection: int = 10
     width: int = 2
-    block: int = 256
+    block: int = 1024
     seed: int = 20240229
 
 
@@ -438,4 +438,4 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, params: Params =
     empty = keep.groupBy("_kept_id").agg(F.max("_kept_n").alias("_kept_n"))
     stay = docs.join(empty, docs["doc_id"] == empty["_kept_id"], "inner").drop("_kept_id", "_kept_n")
     lost = docs.where(docs["doc_id"].isNull())
-    return stay.dropDuplicates(["doc_id"]).union(lost)
+    return stay.dropDuplicates(["doc_id", "text"]).union(lost)
