@@ -429,8 +429,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with one document of each group left, in its own columns.
 
-    Rows that repeat a kept document with the same text are one; rows with a
-    null doc_id and rows without words stay.
+    Rows that repeat a kept document with the same text are one, unlike texts under one
+    doc_id are two; rows with a null doc_id and rows without words stay.
     """
     scratch = Scratch(spark, "minhash-keep")
     keep = near_duplicates(spark, docs, params).where("kept and doc_id is not null")
