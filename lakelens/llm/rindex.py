@@ -49,7 +49,7 @@ from lakelens.llm.common import Scratch, shuffle_tasks
 
 U64 = tv.U64
 _SLICE = 2 << 20
-_COLLECTION = 4 << 20
+_COLLECTION = 2 << 20
 
 
 @dataclass(frozen=True)
