@@ -8,6 +8,7 @@ folder takes its place.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ class Scratch:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def release(self) -> None:
+        """Let go of shuffle files of finished steps: Spark deletes them once nothing refers
+        to them, which otherwise waits for the driver's next collections."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables nothing will read again."""
         jvm = self.spark._jvm

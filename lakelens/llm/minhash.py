@@ -280,7 +280,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: Params, sc
         .join(sets.toDF("b", "set_b"), "b")
         .mapInArrow(_confirm(p.percent), "a long, b long")
     )
-    return scratch.keep(both, f"links-{tag}")
+    links = scratch.keep(both, f"links-{tag}")
+    scratch.drop(f"near-{tag}", f"sets-{tag}")
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch, tag: str, most_rounds: int = 60) -> DataFrame:
@@ -359,6 +361,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
         .distinct()
     )
     links = _verified(docs, nodes, stars, p, scratch, "star")
+    scratch.release()
     first = components(links, scratch, "star")
     # buckets that still hold several components
     labelled = scratch.keep(
@@ -406,6 +409,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
         .distinct()
     )
     more = _verified(docs, nodes, scratch.keep(crossing, "crossing"), p, scratch, "cross")
+    scratch.release()
     final = components(links.union(more), scratch, "all")
     named = nodes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     named = scratch.keep(named, "named")
@@ -422,7 +426,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
-    scratch.drop("near-star", "near-cross", "sets-star", "sets-cross", "tables", "labelled", "mixed", "buckets", "own", "shared", "crossing")
+    scratch.drop("tables", "labelled", "mixed", "buckets", "own", "shared", "crossing")
     return out
 
 
