@@ -5,13 +5,15 @@ layer is scanned with the rules and then unwrapped: percent-encoding and
 Unicode escapes are decoded in place, base64 runs (and what they hold when it
 is gzip, zlib, bzip2 or xz data) become layers of their own.  Each new layer
 goes back on the list until nothing new appears.  A layer already seen at the
-same place is not entered again, so cycles end.  Every layer maps each of its
-characters to the range of the original text that it came from; a secret found
-in a layer is reported as the range of original code points that encode it.
+same place is not entered again, so cycles end.  Layers are bytes, whether or not
+they are text (all rules are ASCII), and compressed data is looked for at every
+offset of them, so also in percent-encoding and escapes.  Every layer maps each of
+its bytes to the range of the original text that it came from; a secret found in
+a layer is reported as the range of original code points that encode it.
 
 Defined cases: a null text is an empty one; texts are scanned whole; repeated
-rows get equal results; undecodable runs are left alone; compressed data is
-decoded in full up to ``Params.max_layer`` bytes a layer, the guard against
+rows get equal results; undecodable runs are left alone; of broken compressed
+data what comes ahead of the fault is read; compressed data is decoded in full up to ``Params.max_layer`` bytes a layer, the guard against
 decompression bombs (a longer layer is scanned as far as that).  Redaction
 returns its input's own columns, whatever their names.
 """
@@ -24,7 +26,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,19 +44,27 @@ KINDS = ("assign", "access", "hex")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 # Letters of the first rule match in either case, ASCII only.
 _ASSIGN = re.compile(
-    r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.ASCII
+    rb"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 )
-_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run, so as good as any run of 16 or more
+_ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_HEX = re.compile(rb"[0-9a-f]{16,}")  # a maximal run, so as good as any run of 16 or more
 _MIN_VALUE, _MIN_ACCESS = 12, 18
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+"
+_PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+_NUMBERED = rb"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+_ESCAPE = re.compile(_NUMBERED)
+_LITERAL = re.compile(_NUMBERED + rb"|\\[abfnrtv0\\'\"]")  # as in a literal of bytes
+_SHORT = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
+_CODE = re.compile(rb"[0-9A-Fa-f]+")
+_BASE64 = re.compile(rb"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}")
+_ZLIB = b"|".join(
+    re.escape(bytes([first, second]))
+    for first in range(0x08, 0x80, 0x10)
+    for second in range(256)
+    if (first * 256 + second) % 31 == 0 and not second & 0x20  # a preset dictionary is not at hand
 )
-_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|" + _ZLIB)
 
 
 @dataclass(frozen=True)
@@ -65,177 +76,181 @@ class Params:
 
 @dataclass
 class Layer:
-    """A text and, for each of its characters, the original range [low, high)."""
+    """Bytes, and how a range of them maps to a range of the layer they came from."""
 
-    text: str
-    low: np.ndarray | None = None  # None: the original text itself
-    high: np.ndarray | None = None
+    data: bytes
+    parent: Layer | None = None  # None: the original text, a byte a character
+    origin: Callable[[int, int], tuple[int, int]] | None = None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.low is None:
-            return start, end
-        return int(self.low[start]), int(self.high[end - 1])
+        """The range of the original text that bytes [start, end) came from."""
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.origin(start, end)
+            layer = layer.parent
+        return start, end
 
 
-def scan(text: str) -> list[tuple[str, int, int]]:
+def _as_bytes(text: str) -> bytes:
+    """A byte a code point; those that no byte stands for are in no rule or encoding."""
+    return text.encode("latin-1", "replace")
+
+
+def scan(text: str | bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in plain sight."""
     found = []
-    folded = text.lower()
-    if any(k in folded for k in _KEYWORDS):
-        found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= _MIN_VALUE]
-    if "AKIA" in text:
-        found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _MIN_ACCESS]
-    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
+    data = _as_bytes(text) if isinstance(text, str) else text
+    folded = data.lower()
+    if any(k.encode() in folded for k in _KEYWORDS):
+        found += [("assign", *m.span()) for m in _ASSIGN.finditer(data) if len(m[2]) >= _MIN_VALUE]
+    if b"AKIA" in data:
+        found += [("access", *m.span()) for m in _ACCESS.finditer(data) if m.end() - m.start() >= _MIN_ACCESS]
+    found += [("hex", *m.span()) for m in _HEX.finditer(data)]
     return found
 
 
-def _decoded_in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """A layer with every match of ``pattern`` replaced by what ``decode`` gives for it."""
-    parts, lows, highs, at, changed = [], [], [], 0, False
-    n = len(layer.text)
-    low = np.arange(n) if layer.low is None else layer.low
-    high = np.arange(1, n + 1) if layer.high is None else layer.high
-    for m in pattern.finditer(layer.text):
-        out = decode(m[0])
-        if out is None:
-            continue
-        text, begins, ends = out
-        changed = True
-        parts += [layer.text[at : m.start()], text]
-        lows += [low[at : m.start()], low[m.start() + begins]]
-        highs += [high[at : m.start()], high[m.start() + ends - 1]]
+def _percent(run: bytes) -> tuple[bytes, int]:
+    return bytes.fromhex(run.replace(b"%", b"").decode()), 3
+
+
+def _escape(one: bytes) -> tuple[bytes, int]:
+    if one[1] in _SHORT and len(one) == 2:
+        return bytes([_SHORT[one[1]]]), 2
+    code = int(_CODE.search(one, 2)[0], 10 if one[:1] == b"&" and one[2] not in b"xX" else 16)
+    return (bytes([code]) if code < 256 else b"?"), len(one)
+
+
+def _decoded_in_place(layer: Layer, pattern: re.Pattern, decode, data: bytes | None = None) -> Layer | None:
+    """A layer with every match of ``pattern`` replaced by what ``decode`` gives for it:
+    bytes, and how many bytes of the match stand for each.  ``data``: instead of the layer's."""
+    data = layer.data if data is None else data
+    parts, at, size = [], 0, 0
+    outs, sources, steps = [0], [0], [1]  # stretches of one step each
+    for m in pattern.finditer(data):
+        out, step = decode(m[0])
+        gap = m.start() - at
+        if gap and steps[-1] != 1:
+            outs.append(size), sources.append(at), steps.append(1)
+        size += gap
+        if gap or steps[-1] != step:
+            outs.append(size), sources.append(m.start()), steps.append(step)
+        size += len(out)
+        parts += [data[at : m.start()], out]
         at = m.end()
-    if not changed:
+    if not parts:
         return None
-    parts.append(layer.text[at:])
-    lows.append(low[at:])
-    highs.append(high[at:])
-    return Layer("".join(parts), np.concatenate(lows), np.concatenate(highs))
+    parts.append(data[at:])
+    outs.append(size), sources.append(at), steps.append(1)
 
+    def origin(start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(outs, start) - 1, bisect_right(outs, end - 1) - 1
+        return sources[i] + (start - outs[i]) * steps[i], sources[j] + (end - outs[j]) * steps[j]
+
+    return Layer(b"".join(parts), layer, origin)
 
-def _aligned(data: bytes, step: int) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """UTF-8 text of ``data`` whose byte i came from characters [step*i, step*(i+1))."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    raw = np.frombuffer(data, dtype=np.uint8)
-    begin = np.flatnonzero(raw & 0xC0 != 0x80)
-    return text, begin * step, np.append(begin[1:], len(data)) * step
 
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj()
 
-def _percent(run: str):
-    return _aligned(bytes.fromhex(run.replace("%", "")), 3)
 
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError)
+_FEED = 1 << 14
 
-def _escapes(run: str):
-    chars, begins, ends = [], [], []
-    for m in _ONE.finditer(run):
-        hexed = m[1] or m[2] or m[3] or m[4] or m[6]
-        code = int(hexed, 16) if hexed else int(m[5])
-        if 0xDC00 <= code < 0xE000 and chars and 0xD800 <= ord(chars[-1]) < 0xDC00:
-            chars[-1] = chr(0x10000 + ((ord(chars[-1]) - 0xD800) << 10) + code - 0xDC00)
-            ends[-1] = m.end()
+
+def _unpacked(view: memoryview, start: int, most: int) -> tuple[bytes, int, bool]:
+    """What the compressed data at ``start`` holds, as far as it is sound; where it
+    ends; whether it was whole."""
+    out, at = bytearray(), start
+    engine = _decompressor(bytes(view[start : start + 6]))
+    inflate = hasattr(engine, "unconsumed_tail")
+    while at < len(view) and not engine.eof and len(out) < most:
+        piece = view[at : at + _FEED]
+        before = engine.copy() if inflate else None
+        try:
+            got = engine.decompress(piece, most - len(out))
+        except _BROKEN:
+            if before is not None:  # what comes ahead of the fault
+                try:
+                    for i in range(len(piece)):
+                        out += before.decompress(piece[i : i + 1], most - len(out) + 1)
+                except _BROKEN:
+                    pass
+            return bytes(out), min(at + _FEED, len(view)), False
+        out += got
+        at += len(piece)
+    return bytes(out), at - len(engine.unused_data), engine.eof
+
+
+def _compressed_layers(layer: Layer, most: int) -> Iterator[Layer]:
+    view, at = memoryview(layer.data), 0
+    while m := _MAGIC.search(layer.data, at):
+        start = m.start()
+        out, end, sound = _unpacked(view, start, most)
+        at = end if sound else start + 1
+        if out:
+            yield Layer(out, layer, lambda a, z, whole=(start, end): whole)
+
+
+def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    for m in _BASE64.finditer(layer.data):
+        body = m[0].rstrip(b"=")
+        if len(body) % 4 == 1:
             continue
-        if code > 0x10FFFF:
-            return None
-        chars.append(chr(code))
-        begins.append(m.start())
-        ends.append(m.end())
-    if any(0xD800 <= ord(c) < 0xE000 for c in chars):
-        return None
-    return "".join(chars), np.array(begins), np.array(ends)
-
-
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    """What compressed data holds; None if it isn't compressed."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, max_length=most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
-    return None
+        data = base64.b64decode(body.translate(_URL_SAFE) + b"=" * (-len(body) % 4))
 
+        def origin(start: int, end: int, at: int = m.start(), n: int = len(body)) -> tuple[int, int]:
+            if n >= 1 << 16:
+                return at, at + n
+            return at + start * 8 // 6, at + (end * 8 - 1) // 6 + 1
 
-def _readable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
+        yield Layer(data, layer, origin)
 
 
-def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.translate(_URL_SAFE) + "=" * (-len(body) % 4), validate=True)
-        except ValueError:
-            continue
-        spans = [layer.span(m.start() + i, m.start() + i + 1) for i in (range(len(body)) if len(body) < 1 << 16 else ())]
-        unpacked, whole = None, layer.span(m.start(), m.end())
-        for _ in range(16):  # compressed inside compressed
-            inner = _unpacked(data if unpacked is None else unpacked, most)
-            if not inner:
-                break
-            unpacked = inner
-        if unpacked is not None:
-            try:
-                text = unpacked.decode()
-            except UnicodeDecodeError:
-                text = unpacked.decode(errors="ignore") if len(unpacked) >= most else ""
-            if _readable(text):
-                yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
-            continue
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if not _readable(text):
-            continue
-        raw = np.frombuffer(data, dtype=np.uint8)
-        begin = np.flatnonzero(raw & 0xC0 != 0x80)
-        end = np.append(begin[1:], len(data))
-        if not spans:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
-            continue
-        low = np.array([s for s, _ in spans])[begin * 8 // 6]
-        high = np.array([e for _, e in spans])[np.minimum((end * 8 - 1) // 6, len(body) - 1)]
-        yield Layer(text, low, high)
+_URL_SAFE = bytes.maketrans(b"-_", b"+/")
 
 
-_URL_SAFE = str.maketrans("-_", "+/")
+def _inner(layer: Layer, params: Params) -> Iterator[Layer]:
+    """The layers found in a layer."""
+    data = layer.data
+    if b"%" in data and (new := _decoded_in_place(layer, _PERCENT, _percent)):
+        yield new
+        if b"+" in data:  # forms write a space so
+            yield from _compressed_layers(_decoded_in_place(layer, _PERCENT, _percent, data.replace(b"+", b" ")), params.max_layer)
+    if (b"\\" in data or b"&#" in data) and (new := _decoded_in_place(layer, _ESCAPE, _escape)):
+        yield new
+        if b"\\x" in data:
+            yield from _compressed_layers(_decoded_in_place(layer, _LITERAL, _escape), params.max_layer)
+    yield from _base64_layers(layer)
+    if layer.parent is not None:
+        yield from _compressed_layers(layer, params.max_layer)
 
 
 def find_secrets(text: str, hidden: bool, params: Params = Params()) -> tuple[list, list]:
     """(base spans, all spans), each sorted by start, then kind; ``hidden``: whether
     the text may hold encoded layers."""
-    base = scan(text)
+    root = Layer(_as_bytes(text))
+    base = scan(root.data)
     every = set(base)
     if hidden:
-        work = [Layer(text)]
-        seen = {(text, 0, len(text))}
+        work = [_inner(root, params)]
+        seen = set()
         while work:
-            layer = work.pop()
-            if layer.low is not None:
-                for kind, a, z in scan(layer.text):
-                    every.add((kind, *layer.span(a, z)))
-            inner = [
-                _decoded_in_place(layer, _PERCENT, _percent) if "%" in layer.text else None,
-                _decoded_in_place(layer, _ESCAPE, _escapes) if "\\" in layer.text or "&#" in layer.text else None,
-                *_base64_layers(layer, params.max_layer),
-            ]
-            for new in inner:
-                if new is None or not new.text:
-                    continue
-                key = (new.text, *new.span(0, len(new.text)))
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+            new = next(work[-1], None)
+            if new is None:
+                work.pop()
+                continue
+            key = (hashlib.blake2b(new.data).digest(), *new.span(0, len(new.data)))
+            if not new.data or key in seen:
+                continue
+            seen.add(key)
+            every.update((kind, *new.span(a, z)) for kind, a, z in scan(new.data))
+            work.append(_inner(new, params))
     order = lambda s: (s[1], _RANK[s[0]], s[2])
     return sorted(base, key=order), sorted(every, key=order)
 

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -97,3 +98,25 @@ def test_redaction(spark, make_docs):
 
 def test_empty_table(spark, make_docs):
     assert secrets.report(make_docs([])).count() == 0 and secrets.redact(make_docs([])).count() == 0
+
+
+def spans_of(text, kind="assign"):
+    return [s for s in secrets.find_secrets(text, True)[1] if s[0] == kind]
+
+
+def test_layers_that_are_no_text_are_scanned():
+    latin = "é".encode("latin-1") * 9 + b"\x00" * 40 + SECRET.encode()
+    tar = gzip.compress(b"\x00" * 500 + SECRET.encode() + b"\x00" * 500)
+    assert spans_of("x " + base64.b64encode(latin).decode())
+    assert spans_of("x " + base64.b64encode(tar).decode())
+    assert spans_of("x %E9" + wrap("url", SECRET).replace("a", "%61"))
+    url = "".join(f"%{b:02X}" for b in b"\xe9" + SECRET.encode())
+    assert spans_of("x " + url) == [("assign", 5, 2 + len(url) - 3)]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_bytes_in_other_encodings(pack):
+    packed = pack(SECRET.encode() * 3)
+    for text in (urllib.parse.quote(packed), urllib.parse.quote_plus(packed), "".join(f"%{b:02x}" for b in packed), repr(packed), "".join(f"\\x{b:02x}" for b in packed)):
+        (_, a, z), *_ = spans_of("é blob: " + text + " end")
+        assert 8 <= a < z <= 8 + len(text)
