@@ -6,7 +6,8 @@ Unicode escapes are decoded in place, base64 runs (and what they hold when it
 is gzip, zlib, bzip2 or xz data) become layers of their own.  Each new layer
 goes back on the list until nothing new appears.  A layer already seen at the
 same place is not entered again, so cycles end.  Layers are bytes, whether or not
-they are text (all rules are ASCII), and compressed data is looked for at every
+they are text (all rules are ASCII).  A base64 run is decoded at all four
+alignments, whole and between its '/', '-' and '_', and compressed data is looked for at every
 offset of them, so also in percent-encoding and escapes.  Every layer maps each of
 its bytes to the range of the original text that it came from; a secret found in
 a layer is reported as the range of original code points that encode it.
@@ -57,7 +58,8 @@ _ESCAPE = re.compile(_NUMBERED)
 _LITERAL = re.compile(_NUMBERED + rb"|\\[abfnrtv0\\'\"]")  # as in a literal of bytes
 _SHORT = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
 _CODE = re.compile(rb"[0-9A-Fa-f]+")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}")
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{20,}")  # of either alphabet
+_PARTS = tuple(re.compile(c + rb"{20,}") for c in (rb"[A-Za-z0-9+/]", rb"[A-Za-z0-9+_-]", rb"[A-Za-z0-9+]"))  # between '-' and '_', '/', or all three
 _ZLIB = b"|".join(
     re.escape(bytes([first, second]))
     for first in range(0x08, 0x80, 0x10)
@@ -198,18 +200,22 @@ def _compressed_layers(layer: Layer, most: int) -> Iterator[Layer]:
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    """Every run at each of its four alignments, since it may be glued to what is
+    before it; then the parts of it that a separator cuts off."""
     for m in _BASE64.finditer(layer.data):
-        body = m[0].rstrip(b"=")
-        if len(body) % 4 == 1:
-            continue
-        data = base64.b64decode(body.translate(_URL_SAFE) + b"=" * (-len(body) % 4))
-
-        def origin(start: int, end: int, at: int = m.start(), n: int = len(body)) -> tuple[int, int]:
-            if n >= 1 << 16:
-                return at, at + n
-            return at + start * 8 // 6, at + (end * 8 - 1) // 6 + 1
-
-        yield Layer(data, layer, origin)
+        found = {m.span(): None}
+        found |= {p.span(): None for part in _PARTS for p in part.finditer(layer.data, *m.span())}
+        for start, end in found:
+            for at in range(start, start + 4):
+                body = layer.data[at : end - ((end - at) % 4 == 1)]
+                data = base64.b64decode(body.translate(_URL_SAFE) + b"=" * (-len(body) % 4))
+
+                def origin(a: int, z: int, at: int = at, n: int = len(body)) -> tuple[int, int]:
+                    if n >= 1 << 16:
+                        return at, at + n
+                    return at + a * 8 // 6, at + (z * 8 - 1) // 6 + 1
+
+                yield Layer(data, layer, origin)
 
 
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")

@@ -120,3 +120,20 @@ def test_compressed_bytes_in_other_encodings(pack):
     for text in (urllib.parse.quote(packed), urllib.parse.quote_plus(packed), "".join(f"%{b:02x}" for b in packed), repr(packed), "".join(f"\\x{b:02x}" for b in packed)):
         (_, a, z), *_ = spans_of("é blob: " + text + " end")
         assert 8 <= a < z <= 8 + len(text)
+
+
+def test_url_safe_base64():
+    r = random.Random(6)
+    for _ in range(60):
+        noise = "".join(chr(r.randint(33, 126)) for _ in range(60))
+        for pack in (bytes, zlib.compress, bz2.compress):
+            run = base64.urlsafe_b64encode(pack((noise + "\xff\xfe? " + SECRET).encode())).decode().rstrip("=")
+            assert spans_of(f"x {run} y"), run
+
+
+@pytest.mark.parametrize("glue", ["https://h/cb/", "a-", "id_", "x", "xy", "xyz/", "/"])
+def test_base64_glued_to_what_is_before_it(glue):
+    run = wrap("base64", "token=abcdefgh12345678 ")
+    for tail in ("", "/more/of/the/path/and/on"):
+        got = spans_of(glue + run.rstrip("=") + tail)
+        assert ("assign", len(glue), len(glue) + 30) in got
