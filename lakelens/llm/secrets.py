@@ -7,10 +7,12 @@ is gzip, zlib, bzip2 or xz data) become layers of their own.  Each new layer
 goes back on the list until nothing new appears.  A layer already seen at the
 same place is not entered again, so cycles end.  Layers are bytes, whether or not
 they are text (all rules are ASCII).  A base64 run is decoded at all four
-alignments, whole and between its '/', '-' and '_', and compressed data is looked for at every
-offset of them, so also in percent-encoding and escapes.  Every layer maps each of
-its bytes to the range of the original text that it came from; a secret found in
-a layer is reported as the range of original code points that encode it.
+alignments, whole, between its '/', '-' and '_', and joined with the lines before
+and after it that hold nothing else (indented or not; some line or, if none is
+indented, all together of 20 characters).  Compressed data is looked for at every
+offset of decoded layers, so also in percent-encoding and escapes.  Every layer
+maps each of its bytes to the range of the original text that it came from; a secret
+found in a layer is reported as the range of original code points that encode it.
 
 Defined cases: a null text is an empty one; texts are scanned whole; repeated
 rows get equal results; undecodable runs are left alone; of broken compressed
@@ -30,6 +32,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,10 @@ _SHORT = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
 _CODE = re.compile(rb"[0-9A-Fa-f]+")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{20,}")  # of either alphabet
 _PARTS = tuple(re.compile(c + rb"{20,}") for c in (rb"[A-Za-z0-9+/]", rb"[A-Za-z0-9+_-]", rb"[A-Za-z0-9+]"))  # between '-' and '_', '/', or all three
+# Lines of nothing else, after the end of one and before the start of another; breaks may be escaped ones.
+_LINE = re.compile(rb"[A-Za-z0-9+/_-]++(?P<break>[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?=[A-Za-z0-9+/_-]))?")
+_BLOCK = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?=[A-Za-z0-9+/_-]))++[A-Za-z0-9+/_-]++")
+_LINE_END = re.compile(rb"=|[ \t]*(?:\r?\n|(?:\\r)?\\n|\Z)")
 _ZLIB = b"|".join(
     re.escape(bytes([first, second]))
     for first in range(0x08, 0x80, 0x10)
@@ -163,6 +170,7 @@ def _decompressor(head: bytes):
 
 _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError)
 _FEED = 1 << 14
+_CHANCE = 64  # bytes that look like zlib data by chance break earlier
 
 
 def _unpacked(view: memoryview, start: int, most: int) -> tuple[bytes, int, bool]:
@@ -180,10 +188,11 @@ def _unpacked(view: memoryview, start: int, most: int) -> tuple[bytes, int, bool
             if before is not None:  # what comes ahead of the fault
                 try:
                     for i in range(len(piece)):
+                        at += 1
                         out += before.decompress(piece[i : i + 1], most - len(out) + 1)
                 except _BROKEN:
                     pass
-            return bytes(out), min(at + _FEED, len(view)), False
+            return bytes(out), at, False
         out += got
         at += len(piece)
     return bytes(out), at - len(engine.unused_data), engine.eof
@@ -195,27 +204,47 @@ def _compressed_layers(layer: Layer, most: int) -> Iterator[Layer]:
         start = m.start()
         out, end, sound = _unpacked(view, start, most)
         at = end if sound else start + 1
-        if out:
+        if out and (sound or start == 0 or len(m[0]) > 2 or end - start >= _CHANCE):
             yield Layer(out, layer, lambda a, z, whole=(start, end): whole)
 
 
+def _decoded_base64(layer: Layer, spans: list[tuple[int, int]]) -> Iterator[Layer]:
+    """The four alignments of the run that the ranges make when put together."""
+    run = b"".join(layer.data[a:z] for a, z in spans).translate(_URL_SAFE)
+    begins = [0, *accumulate(z - a for a, z in spans)]
+
+    def source(i: int) -> int:
+        k = bisect_right(begins, i) - 1
+        return spans[k][0] + i - begins[k]
+
+    for at in range(4):
+        body = run[at : len(run) - ((len(run) - at) % 4 == 1)]
+        data = base64.b64decode(body + b"=" * (-len(body) % 4))
+
+        def origin(a: int, z: int, at: int = at, n: int = len(body)) -> tuple[int, int]:
+            if n >= 1 << 16:
+                return source(at), source(at + n - 1) + 1
+            return source(at + a * 8 // 6), source(at + (z * 8 - 1) // 6) + 1
+
+        yield Layer(data, layer, origin)
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     """Every run at each of its four alignments, since it may be glued to what is
-    before it; then the parts of it that a separator cuts off."""
+    before it; then the parts of it that a separator cuts off; then the blocks of lines."""
     for m in _BASE64.finditer(layer.data):
         found = {m.span(): None}
         found |= {p.span(): None for part in _PARTS for p in part.finditer(layer.data, *m.span())}
-        for start, end in found:
-            for at in range(start, start + 4):
-                body = layer.data[at : end - ((end - at) % 4 == 1)]
-                data = base64.b64decode(body.translate(_URL_SAFE) + b"=" * (-len(body) % 4))
-
-                def origin(a: int, z: int, at: int = at, n: int = len(body)) -> tuple[int, int]:
-                    if n >= 1 << 16:
-                        return at, at + n
-                    return at + a * 8 // 6, at + (z * 8 - 1) // 6 + 1
-
-                yield Layer(data, layer, origin)
+        for span in found:
+            yield from _decoded_base64(layer, [span])
+    if b"\n" not in layer.data and b"\\n" not in layer.data:
+        return
+    for m in _BLOCK.finditer(layer.data):
+        lines = [(p.start(), p.start("break") if p["break"] else p.end()) for p in _LINE.finditer(layer.data, *m.span())]
+        whole = _LINE_END.match(layer.data, m.end())
+        for spans in (lines, lines[:-1] if not whole and len(lines) > 2 else []):  # a last line of other text
+            if sum(z - a for a, z in spans) >= 20:
+                yield from _decoded_base64(layer, spans)
 
 
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")
@@ -263,6 +292,7 @@ def find_secrets(text: str, hidden: bool, params: Params = Params()) -> tuple[li
 
 _IS_64 = np.zeros(256, dtype=bool)
 _IS_64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+_IS_64[list(b"\r\n")] = True  # lines are joined
 _IS_HEX = np.zeros(256, dtype=bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 _MARK = np.zeros(256, dtype=bool)

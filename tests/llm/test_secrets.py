@@ -137,3 +137,34 @@ def test_base64_glued_to_what_is_before_it(glue):
     for tail in ("", "/more/of/the/path/and/on"):
         got = spans_of(glue + run.rstrip("=") + tail)
         assert ("assign", len(glue), len(glue) + 30) in got
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    ", "\\n", "%0A"])
+@pytest.mark.parametrize("width", [16, 64, 76])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_line_wrapped_base64(newline, width, pack):
+    r = random.Random(7)
+    noise = "".join(chr(r.randint(33, 126)) for _ in range(300))
+    run = base64.b64encode(pack((noise + " é " + SECRET + " " + noise + " " + SECRET).encode())).decode()
+    text = newline.join(run[i : i + width] for i in range(0, len(run), width))
+    for before, after in (("", ""), ("", "\n"), ("", "\n\nnext one"), ("data: ", " end"), ("-----BEGIN X-----\n", "\n-----END X-----")):
+        got = spans_of(before + text + after)
+        assert len(got) >= (2 if pack is bytes else 1)
+        assert all(len(before) - 6 <= a < z <= len(before + text) + 9 for _, a, z in got)
+
+
+def test_secret_across_a_line_end_maps_through_the_break():
+    run = wrap("base64", "x" * 50 + " token=abcdefgh12345678 ")
+    text = run[:76] + "\r\n" + run[76:]
+    assert ("assign", 68, 68 + 30 + 2) in spans_of(text)
+
+
+def test_narrow_lines_reach_the_scan(spark, make_docs):
+    run = wrap("base64", SECRET)
+    text = "\n".join(run[i : i + 16] for i in range(0, len(run), 16))
+    assert "assign" in secrets.report(make_docs([(1, text, "a")])).first().spans
+
+
+def test_random_bytes_hold_nothing():
+    run = base64.b64encode(random.Random(1).randbytes(1 << 20)).decode()
+    assert secrets.find_secrets(run, True)[1] == []
