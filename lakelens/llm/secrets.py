@@ -221,9 +221,7 @@ def _decoded_base64(layer: Layer, spans: list[tuple[int, int]]) -> Iterator[Laye
         body = run[at : len(run) - ((len(run) - at) % 4 == 1)]
         data = base64.b64decode(body + b"=" * (-len(body) % 4))
 
-        def origin(a: int, z: int, at: int = at, n: int = len(body)) -> tuple[int, int]:
-            if n >= 1 << 16:
-                return source(at), source(at + n - 1) + 1
+        def origin(a: int, z: int, at: int = at) -> tuple[int, int]:
             return source(at + a * 8 // 6), source(at + (z * 8 - 1) // 6) + 1
 
         yield Layer(data, layer, origin)

@@ -168,3 +168,11 @@ def test_narrow_lines_reach_the_scan(spark, make_docs):
 def test_random_bytes_hold_nothing():
     run = base64.b64encode(random.Random(1).randbytes(1 << 20)).decode()
     assert secrets.find_secrets(run, True)[1] == []
+
+
+def test_long_runs_map_exactly():
+    one = "token=abcdefgh12345678" + " " * 5
+    for n in (40, 4000):
+        run = wrap("base64", one * n)
+        assert [s for s in spans_of(run)] == [("assign", 36 * k, 36 * k + 30) for k in range(n)]
+        assert secrets.redacted(run, spans_of(run)).count("[assign removed]") == n
