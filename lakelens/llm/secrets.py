@@ -15,10 +15,11 @@ maps each of its bytes to the range of the original text that it came from; a se
 found in a layer is reported as the range of original code points that encode it.
 
 Defined cases: a null text is an empty one; texts are scanned whole; repeated
-rows get equal results; undecodable runs are left alone; of broken compressed
-data what comes ahead of the fault is read; compressed data is decoded in full up to ``Params.max_layer`` bytes a layer, the guard against
-decompression bombs (a longer layer is scanned as far as that).  Redaction
-returns its input's own columns, whatever their names.
+rows get equal results; undecodable runs are left alone; compressed data is decoded
+in full, all members of it, at any depth; a layer of over ``Params.max_layer`` bytes
+is a mapped file, so that decompression bombs cost disk and time but not memory; of
+broken compressed data what comes ahead of the fault is read.  Redaction returns its
+input's own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ import base64
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -64,8 +67,8 @@ _CODE = re.compile(rb"[0-9A-Fa-f]+")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{20,}")  # of either alphabet
 _PARTS = tuple(re.compile(c + rb"{20,}") for c in (rb"[A-Za-z0-9+/]", rb"[A-Za-z0-9+_-]", rb"[A-Za-z0-9+]"))  # between '-' and '_', '/', or all three
 # Lines of nothing else, after the end of one and before the start of another; breaks may be escaped ones.
-_LINE = re.compile(rb"[A-Za-z0-9+/_-]++(?P<break>[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?=[A-Za-z0-9+/_-]))?")
-_BLOCK = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?=[A-Za-z0-9+/_-]))++[A-Za-z0-9+/_-]++")
+_LINE = re.compile(rb"[A-Za-z0-9+/_-]++(?P<break>[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?=[A-Za-z0-9+/_-]|\Z))?")
+_BLOCK = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+(?=[A-Za-z0-9+/_-]))++(?P<last>[A-Za-z0-9+/_-]++)")
 _LINE_END = re.compile(rb"=|[ \t]*(?:\r?\n|(?:\\r)?\\n|\Z)")
 _ZLIB = b"|".join(
     re.escape(bytes([first, second]))
@@ -78,24 +81,56 @@ _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00
 
 @dataclass(frozen=True)
 class Params:
-    """max_layer: bytes a compressed layer may unfold to."""
+    """max_layer: bytes of a layer that are held in memory; a longer one is a file."""
 
     max_layer: int = 64 << 20
 
 
+class _Spool:
+    """Collects bytes, in a file of the task's temp folder once they are many."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.memory, self.file = most, 0, bytearray(), None
+
+    def write(self, data: bytes) -> None:
+        self.size += len(data)
+        if self.file is None and self.size > self.most:
+            self.file = tempfile.TemporaryFile()
+            self.file.write(self.memory)
+            self.memory = bytearray()
+        if self.file is None:
+            self.memory += data
+        else:
+            self.file.write(data)
+
+    def done(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return bytes(self.memory)
+        self.file.flush()
+        with self.file:
+            return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _slices(data: bytes | mmap.mmap, start: int, end: int) -> Iterator[bytes]:
+    for at in range(start, end, _SLICE):
+        yield data[at : min(at + _SLICE, end)]
+
+
 @dataclass
 class Layer:
     """Bytes, and how a range of them maps to a range of the layer they came from."""
 
-    data: bytes
+    data: bytes | mmap.mmap
     parent: Layer | None = None  # None: the original text, a byte a character
-    origin: Callable[[int, int], tuple[int, int]] | None = None
+    origin: Callable[[int, int], tuple[int, int]] | None = None  # None: any range of the parent's, all being the same
+    flat: bool = False  # all bytes came from the same range
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The range of the original text that bytes [start, end) came from."""
         layer = self
         while layer.parent is not None:
-            start, end = layer.origin(start, end)
+            if layer.origin is not None:
+                start, end = layer.origin(start, end)
             layer = layer.parent
         return start, end
 
@@ -105,17 +140,17 @@ def _as_bytes(text: str) -> bytes:
     return text.encode("latin-1", "replace")
 
 
-def scan(text: str | bytes) -> list[tuple[str, int, int]]:
+def _scan(data: bytes | mmap.mmap) -> Iterator[tuple[str, int, int]]:
+    if not isinstance(data, bytes) or any(k.encode() in folded for folded in [data.lower()] for k in _KEYWORDS):
+        yield from (("assign", *m.span()) for m in _ASSIGN.finditer(data) if m.end(2) - m.start(2) >= _MIN_VALUE)
+    if data.find(b"AKIA") >= 0:
+        yield from (("access", *m.span()) for m in _ACCESS.finditer(data) if m.end() - m.start() >= _MIN_ACCESS)
+    yield from (("hex", *m.span()) for m in _HEX.finditer(data))
+
+
+def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in plain sight."""
-    found = []
-    data = _as_bytes(text) if isinstance(text, str) else text
-    folded = data.lower()
-    if any(k.encode() in folded for k in _KEYWORDS):
-        found += [("assign", *m.span()) for m in _ASSIGN.finditer(data) if len(m[2]) >= _MIN_VALUE]
-    if b"AKIA" in data:
-        found += [("access", *m.span()) for m in _ACCESS.finditer(data) if m.end() - m.start() >= _MIN_ACCESS]
-    found += [("hex", *m.span()) for m in _HEX.finditer(data)]
-    return found
+    return list(_scan(_as_bytes(text)))
 
 
 def _percent(run: bytes) -> tuple[bytes, int]:
@@ -129,33 +164,38 @@ def _escape(one: bytes) -> tuple[bytes, int]:
     return (bytes([code]) if code < 256 else b"?"), len(one)
 
 
-def _decoded_in_place(layer: Layer, pattern: re.Pattern, decode, data: bytes | None = None) -> Layer | None:
+def _decoded_in_place(layer: Layer, pattern: re.Pattern, decode, most: int, spaces: bool = False) -> Layer | None:
     """A layer with every match of ``pattern`` replaced by what ``decode`` gives for it:
-    bytes, and how many bytes of the match stand for each.  ``data``: instead of the layer's."""
-    data = layer.data if data is None else data
-    parts, at, size = [], 0, 0
+    bytes, and how many bytes of the match stand for each.  ``spaces``: '+' is one."""
+    data, at, size, out = layer.data, 0, 0, _Spool(most)
     outs, sources, steps = [0], [0], [1]  # stretches of one step each
+
+    def gap(start: int, end: int) -> None:
+        for piece in _slices(data, start, end):
+            out.write(piece.replace(b"+", b" ") if spaces else piece)
+
     for m in pattern.finditer(data):
-        out, step = decode(m[0])
-        gap = m.start() - at
-        if gap and steps[-1] != 1:
-            outs.append(size), sources.append(at), steps.append(1)
-        size += gap
-        if gap or steps[-1] != step:
-            outs.append(size), sources.append(m.start()), steps.append(step)
-        size += len(out)
-        parts += [data[at : m.start()], out]
+        found, step = decode(m[0])
+        if not layer.flat:
+            if m.start() > at and steps[-1] != 1:
+                outs.append(size), sources.append(at), steps.append(1)
+            size += m.start() - at
+            if m.start() > at or steps[-1] != step:
+                outs.append(size), sources.append(m.start()), steps.append(step)
+            size += len(found)
+        gap(at, m.start())
+        out.write(found)
         at = m.end()
-    if not parts:
+    if not at:
         return None
-    parts.append(data[at:])
+    gap(at, len(data))
     outs.append(size), sources.append(at), steps.append(1)
 
     def origin(start: int, end: int) -> tuple[int, int]:
         i, j = bisect_right(outs, start) - 1, bisect_right(outs, end - 1) - 1
         return sources[i] + (start - outs[i]) * steps[i], sources[j] + (end - outs[j]) * steps[j]
 
-    return Layer(b"".join(parts), layer, origin)
+    return Layer(out.done(), layer, None if layer.flat else origin, layer.flat)
 
 
 def _decompressor(head: bytes):
@@ -173,117 +213,177 @@ _FEED = 1 << 14
 _CHANCE = 64  # bytes that look like zlib data by chance break earlier
 
 
-def _unpacked(view: memoryview, start: int, most: int) -> tuple[bytes, int, bool]:
-    """What the compressed data at ``start`` holds, as far as it is sound; where it
-    ends; whether it was whole."""
-    out, at = bytearray(), start
+def _member(view: memoryview, start: int, out: _Spool) -> tuple[int, bool]:
+    """Unpacks the member at ``start`` as far as it is sound; where it ends; whether
+    it was whole."""
+    at = start
     engine = _decompressor(bytes(view[start : start + 6]))
     inflate = hasattr(engine, "unconsumed_tail")
-    while at < len(view) and not engine.eof and len(out) < most:
+    while at < len(view) and not engine.eof:
         piece = view[at : at + _FEED]
-        before = engine.copy() if inflate else None
+        before, had = engine.copy() if inflate else None, 0
         try:
-            got = engine.decompress(piece, most - len(out))
+            rest = piece
+            while True:
+                got = engine.decompress(rest, _SLICE)
+                out.write(got)
+                had += len(got)
+                rest = engine.unconsumed_tail if inflate else b""
+                if engine.eof or (not rest if inflate else engine.needs_input):
+                    break
         except _BROKEN:
             if before is not None:  # what comes ahead of the fault
                 try:
                     for i in range(len(piece)):
                         at += 1
-                        out += before.decompress(piece[i : i + 1], most - len(out) + 1)
+                        rest = piece[i : i + 1]
+                        while rest:
+                            got = before.decompress(rest, _SLICE)
+                            out.write(got[had:])
+                            had = max(0, had - len(got))
+                            rest = before.unconsumed_tail
                 except _BROKEN:
                     pass
-            return bytes(out), at, False
-        out += got
+            return at, False
         at += len(piece)
-    return bytes(out), at - len(engine.unused_data), engine.eof
+    return at - len(engine.unused_data), engine.eof
+
+
+def _unpacked(view: memoryview, start: int, most: int) -> tuple[bytes | mmap.mmap | None, int, int]:
+    """What the compressed data at ``start`` holds, one member after the other; where
+    it ends; where to look for more."""
+    out, end, at = _Spool(most), start, start
+    while m := _MAGIC.match(view, at):
+        weak = len(m[0]) == 2
+        got = _Spool(most) if weak else out
+        z, sound = _member(view, at, got)
+        if weak and not sound and at > 0 and z - at < _CHANCE:
+            return out.done(), end, at + 1
+        if weak and got.size:
+            data = got.done()
+            for piece in _slices(data, 0, len(data)):
+                out.write(piece)
+        end = z
+        if not sound:
+            return out.done(), end, at + 1
+        at = end
+        while at < len(view) and not view[at]:  # padding
+            at += 1
+    return out.done(), end, end
 
 
 def _compressed_layers(layer: Layer, most: int) -> Iterator[Layer]:
     view, at = memoryview(layer.data), 0
     while m := _MAGIC.search(layer.data, at):
         start = m.start()
-        out, end, sound = _unpacked(view, start, most)
-        at = end if sound else start + 1
-        if out and (sound or start == 0 or len(m[0]) > 2 or end - start >= _CHANCE):
-            yield Layer(out, layer, lambda a, z, whole=(start, end): whole)
+        out, end, at = _unpacked(view, start, most)
+        if out:
+            yield Layer(out, layer, None if layer.flat else lambda a, z, whole=(start, end): whole, True)
 
 
-def _decoded_base64(layer: Layer, spans: list[tuple[int, int]]) -> Iterator[Layer]:
-    """The four alignments of the run that the ranges make when put together."""
-    run = b"".join(layer.data[a:z] for a, z in spans).translate(_URL_SAFE)
+def _decoded_base64(layer: Layer, start: int, end: int, most: int) -> Iterator[Layer]:
+    """The four alignments of the run that the lines in [start, end) make."""
+    def lines() -> Iterator[tuple[int, int]]:
+        return ((p.start(), p.start("break") if p["break"] else p.end()) for p in _LINE.finditer(layer.data, start, end))
+
+    spans = [] if layer.flat else list(lines())
     begins = [0, *accumulate(z - a for a, z in spans)]
 
     def source(i: int) -> int:
         k = bisect_right(begins, i) - 1
         return spans[k][0] + i - begins[k]
 
+    def pieces() -> Iterator[bytes]:
+        have = bytearray()
+        for a, z in spans or lines():
+            for piece in _slices(layer.data, a, z):
+                have += piece
+                if len(have) >= _SLICE:
+                    yield bytes(have)
+                    have.clear()
+        yield bytes(have)
+
     for at in range(4):
-        body = run[at : len(run) - ((len(run) - at) % 4 == 1)]
-        data = base64.b64decode(body + b"=" * (-len(body) % 4))
+        out, rest, skip = _Spool(most), b"", at
+        for piece in pieces():
+            rest += piece[skip:]
+            skip = 0
+            n = len(rest) & -4
+            out.write(base64.b64decode(rest[:n].translate(_URL_SAFE)))
+            rest = rest[n:]
+        if len(rest) > 1:
+            out.write(base64.b64decode(rest.translate(_URL_SAFE) + b"=" * (4 - len(rest))))
 
         def origin(a: int, z: int, at: int = at) -> tuple[int, int]:
             return source(at + a * 8 // 6), source(at + (z * 8 - 1) // 6) + 1
 
-        yield Layer(data, layer, origin)
+        yield Layer(out.done(), layer, None if layer.flat else origin, layer.flat)
 
 
-def _base64_layers(layer: Layer) -> Iterator[Layer]:
+def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
     """Every run at each of its four alignments, since it may be glued to what is
     before it; then the parts of it that a separator cuts off; then the blocks of lines."""
-    for m in _BASE64.finditer(layer.data):
-        found = {m.span(): None}
-        found |= {p.span(): None for part in _PARTS for p in part.finditer(layer.data, *m.span())}
-        for span in found:
-            yield from _decoded_base64(layer, [span])
-    if b"\n" not in layer.data and b"\\n" not in layer.data:
+    data = layer.data
+    for m in _BASE64.finditer(data):
+        yield from _decoded_base64(layer, *m.span(), most)
+        seen = {m.span()}
+        for part in _PARTS:
+            for p in part.finditer(data, *m.span()):
+                if p.span() not in seen:
+                    if part is not _PARTS[-1]:
+                        seen.add(p.span())
+                    yield from _decoded_base64(layer, *p.span(), most)
+    if data.find(b"\n") < 0 and data.find(b"\\n") < 0:
         return
-    for m in _BLOCK.finditer(layer.data):
-        lines = [(p.start(), p.start("break") if p["break"] else p.end()) for p in _LINE.finditer(layer.data, *m.span())]
-        whole = _LINE_END.match(layer.data, m.end())
-        for spans in (lines, lines[:-1] if not whole and len(lines) > 2 else []):  # a last line of other text
-            if sum(z - a for a, z in spans) >= 20:
-                yield from _decoded_base64(layer, spans)
+    for m in _BLOCK.finditer(data):
+        if m.end() - m.start() < 20:
+            continue
+        yield from _decoded_base64(layer, *m.span(), most)
+        if not _LINE_END.match(data, m.end()):  # a last line of other text
+            yield from _decoded_base64(layer, m.start(), m.start("last"), most)
 
 
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")
 
 
-def _inner(layer: Layer, params: Params) -> Iterator[Layer]:
+def _inner(layer: Layer, most: int) -> Iterator[Layer]:
     """The layers found in a layer."""
     data = layer.data
-    if b"%" in data and (new := _decoded_in_place(layer, _PERCENT, _percent)):
+    if data.find(b"%") >= 0 and (new := _decoded_in_place(layer, _PERCENT, _percent, most)):
         yield new
-        if b"+" in data:  # forms write a space so
-            yield from _compressed_layers(_decoded_in_place(layer, _PERCENT, _percent, data.replace(b"+", b" ")), params.max_layer)
-    if (b"\\" in data or b"&#" in data) and (new := _decoded_in_place(layer, _ESCAPE, _escape)):
+        if data.find(b"+") >= 0:  # forms write a space so
+            yield from _compressed_layers(_decoded_in_place(layer, _PERCENT, _percent, most, True), most)
+    if (data.find(b"\\") >= 0 or data.find(b"&#") >= 0) and (new := _decoded_in_place(layer, _ESCAPE, _escape, most)):
         yield new
-        if b"\\x" in data:
-            yield from _compressed_layers(_decoded_in_place(layer, _LITERAL, _escape), params.max_layer)
-    yield from _base64_layers(layer)
+        if data.find(b"\\x") >= 0:
+            yield from _compressed_layers(_decoded_in_place(layer, _LITERAL, _escape, most), most)
+    yield from _base64_layers(layer, most)
     if layer.parent is not None:
-        yield from _compressed_layers(layer, params.max_layer)
+        yield from _compressed_layers(layer, most)
 
 
 def find_secrets(text: str, hidden: bool, params: Params = Params()) -> tuple[list, list]:
     """(base spans, all spans), each sorted by start, then kind; ``hidden``: whether
     the text may hold encoded layers."""
     root = Layer(_as_bytes(text))
-    base = scan(root.data)
+    base = list(_scan(root.data))
     every = set(base)
     if hidden:
-        work = [_inner(root, params)]
+        work = [_inner(root, params.max_layer)]
         seen = set()
         while work:
             new = next(work[-1], None)
             if new is None:
                 work.pop()
                 continue
+            if not len(new.data):
+                continue
             key = (hashlib.blake2b(new.data).digest(), *new.span(0, len(new.data)))
-            if not new.data or key in seen:
+            if key in seen:
                 continue
             seen.add(key)
-            every.update((kind, *new.span(a, z)) for kind, a, z in scan(new.data))
-            work.append(_inner(new, params))
+            every.update((kind, *new.span(a, z)) for kind, a, z in _scan(new.data))
+            work.append(_inner(new, params.max_layer))
     order = lambda s: (s[1], _RANK[s[0]], s[2])
     return sorted(base, key=order), sorted(every, key=order)
 

@@ -176,3 +176,37 @@ def test_long_runs_map_exactly():
         run = wrap("base64", one * n)
         assert [s for s in spans_of(run)] == [("assign", 36 * k, 36 * k + 30) for k in range(n)]
         assert secrets.redacted(run, spans_of(run)).count("[assign removed]") == n
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_every_member_is_read(pack):
+    noise = random.Random(8).randbytes(50_000)
+    packed = pack(noise) + pack(b"more") + pack(SECRET[:20].encode()) + pack(SECRET[20:].encode())
+    (_, a, z), *_ = spans_of("x " + base64.b64encode(packed).decode() + " y")
+    assert (a, z) == (2, 2 + -(-len(packed) * 8 // 6))
+
+
+@pytest.mark.parametrize("most", [100, 64 << 20])
+def test_long_layers_are_read_to_their_end(most):
+    inner = SECRET + " " + wrap("base64", "AKIA" + "B" * 20) + " " + wrap("url", "%" + "0123456789abcdef0 ") + "\n".join([wrap("gzip", "f" * 20)] * 2)
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        text = "x " + base64.b64encode(pack(b" " * 5_000_000 + inner.encode() + b" " * 100_000)).decode()
+        found = secrets.find_secrets(text, True, secrets.Params(max_layer=most))[1]
+        assert {k for k, a, z in found if a >= 2 and z <= len(text)} == set(secrets.KINDS)
+
+
+def test_beyond_the_memory_bound():
+    packed = gzip.compress(b" " * ((64 << 20) + 1000) + SECRET.encode(), 1)
+    assert spans_of("x " + base64.b64encode(packed).decode())
+
+
+def test_deep_compression():
+    data = SECRET.encode()
+    for _ in range(40):
+        data = gzip.compress(data)
+    assert spans_of("x " + base64.b64encode(data).decode())
+
+
+def test_short_lines_before_a_longer_one():
+    for first in ("a", "ab", "abc", "abcd", "abcde"):
+        assert secrets.find_secrets(first + "\nsomething_quite_longer here", True)[1] == []
