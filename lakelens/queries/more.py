@@ -164,6 +164,19 @@ def membership_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_closure(e)
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer),
+w AS (SELECT child, parent FROM e UNION SELECT w.child, e.parent FROM w JOIN e ON e.child = w.parent)
+SELECT child AS node, parent AS ancestor FROM w UNION SELECT child, child FROM e UNION SELECT parent, parent FROM e"""
+)
+def membership_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``membership_closure`` over all customers."""
+    from lakelens.operators.graph import pairs_closure
+
+    c = F.col("c_custkey")
+    return pairs_closure(read(spark, sf_dir, "customer").select(c.alias("child"), F.floor(c / 3).cast("long").alias("parent")))
+
+
 @query(
     """SELECT a.n_name AS name, b.s_name AS other FROM (SELECT n_name, 's3://b/' || CAST(n_regionkey AS VARCHAR) || '/' || CAST(n_nationkey AS VARCHAR) AS p FROM nation) a JOIN
 (SELECT s_name, 's3://b/' || CAST(n_regionkey AS VARCHAR) || '/' || CAST(n_nationkey AS VARCHAR) || '/' || CAST(s_suppkey AS VARCHAR) AS p FROM supplier JOIN nation ON n_nationkey = s_nationkey) b ON starts_with(b.p, a.p || '/')"""

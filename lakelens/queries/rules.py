@@ -294,6 +294,24 @@ UNION ALL SELECT 'g' || CAST(r_regionkey AS VARCHAR), a.node, 'SELECT', 'grant'
 UNION ALL SELECT 'u' || CAST(n_nationkey AS VARCHAR), 'n' || CAST(n_nationkey AS VARCHAR), 'MANAGE', 'owner' FROM nation WHERE n_nationkey % 9 <> 0 AND n_nationkey > 0"""
 )
 def perm_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _permissions(spark, sf_dir, read(spark, sf_dir, "customer").where("c_custkey < 60"))
+
+
+@query(
+    """WITH o AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS id, NULL AS parent FROM region UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation
+ UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'n' || CAST(s_nationkey AS VARCHAR) FROM supplier),
+a AS (WITH RECURSIVE w AS (SELECT id AS node, id AS anc FROM o UNION ALL SELECT w.node, o.parent FROM w JOIN o ON o.id = w.anc WHERE o.parent IS NOT NULL) SELECT * FROM w),
+m AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) AS u, 'g' || CAST(c_nationkey % 5 AS VARCHAR) AS g FROM customer WHERE c_custkey % 9 <> 0)
+SELECT m.u AS principal_id, a.node AS object_id, 'SELECT' AS privilege, 'grant' AS source FROM m JOIN a ON a.anc = 'r' || substr(m.g, 2, 1)
+UNION ALL SELECT 'g' || CAST(r_regionkey AS VARCHAR), a.node, 'SELECT', 'grant' FROM region JOIN a ON a.anc = 'r' || CAST(r_regionkey AS VARCHAR)
+UNION ALL SELECT 'u' || CAST(n_nationkey AS VARCHAR), 'n' || CAST(n_nationkey AS VARCHAR), 'MANAGE', 'owner' FROM nation WHERE n_nationkey % 9 <> 0 AND n_nationkey > 0"""
+)
+def perm_compile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``perm_compile`` over all customers."""
+    return _permissions(spark, sf_dir, read(spark, sf_dir, "customer"))
+
+
+def _permissions(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
     tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     none = F.lit(None).cast("string")
     objects = (
@@ -301,7 +319,6 @@ def perm_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(read(spark, sf_dir, "nation").select(tag("n", "n_nationkey"), F.lit("SCHEMA"), tag("r", "n_regionkey"), tag("u", "n_nationkey")))
         .union(read(spark, sf_dir, "supplier").select(tag("s", "s_suppkey"), F.lit("TABLE"), tag("n", "s_nationkey"), none))
     )
-    users = read(spark, sf_dir, "customer").where("c_custkey < 60")
     members = users.select(tag("u", "c_custkey").alias("child"), F.concat(F.lit("g"), (F.col("c_nationkey") % 5).cast("string")).alias("parent"))
     grants = read(spark, sf_dir, "region").select(tag("grant", "r_regionkey").alias("grant_id"), tag("r", "r_regionkey").alias("object_id"), tag("g", "r_regionkey").alias("principal_id"), F.lit("SELECT").alias("privilege"), F.lit(False).alias("grant_option"))
     state = F.when(F.col("c_custkey") % 9 == 0, "DISABLED").otherwise("ACTIVE")
@@ -349,6 +366,21 @@ def dep_mapping_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.map_partitions(_days(spark, sf_dir, "lineitem", "l_shipdate"), up, "window", -6, 0)
 
 
+@query(f"SELECT d.key AS downstream_key, max(u.key) AS upstream_key FROM ({_SHIP_DAYS}) d JOIN ({_ORDER_DAYS}) u ON u.key <= d.key GROUP BY d.key")
+def dep_mapping_latest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dep_mapping_latest`` from all orders."""
+    return joins.map_partitions(_days(spark, sf_dir, "lineitem", "l_shipdate"), _days(spark, sf_dir, "orders", "o_orderdate"), "latest")
+
+
+@query(
+    f"""SELECT d.key AS downstream_key, u.key AS upstream_key FROM ({_SHIP_DAYS}) d JOIN ({_ORDER_DAYS}) u
+ON CAST(u.key AS DATE) BETWEEN CAST(d.key AS DATE) - 6 AND CAST(d.key AS DATE)"""
+)
+def dep_mapping_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dep_mapping_window`` from all orders."""
+    return joins.map_partitions(_days(spark, sf_dir, "lineitem", "l_shipdate"), _days(spark, sf_dir, "orders", "o_orderdate"), "window", -6, 0)
+
+
 # -- checks -------------------------------------------------------------------------------
 
 

@@ -131,6 +131,13 @@ same_sql(
   UNION ALL SELECT node, CAST(floor(pos / 2) AS BIGINT), depth + 1 FROM up WHERE pos > 0)
 SELECT node, max(depth) AS depth FROM up GROUP BY node""",
 )
+same_sql(
+    "sql_recursive_all",
+    """WITH RECURSIVE up(node, pos, depth) AS (
+  SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), 0 FROM part
+  UNION ALL SELECT node, CAST(floor(pos / 2) AS BIGINT), depth + 1 FROM up WHERE pos > 0)
+SELECT node, max(depth) AS depth FROM up GROUP BY node""",
+)
 same_sql(
     "sql_string_functions",
     """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, reverse(c_name) AS r, substr(c_name, 2, 4) AS s,

@@ -364,6 +364,19 @@ def lineage_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select((F.col("table_id") - 1000).cast("int").alias("table_id"), "direction", "neighbour")
 
 
+@query(
+    """SELECT n_nationkey AS table_id, 'upstream' AS direction, n_regionkey AS neighbour FROM nation
+UNION ALL SELECT n.n_nationkey, 'downstream', 10000 + s_suppkey FROM nation n JOIN supplier ON s_nationkey = n.n_nationkey"""
+)
+def lineage_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineage_neighbors`` of all nations; suppliers' ids are apart from nations' at any size."""
+    nation, tag = read(spark, sf_dir, "nation"), (1000 + F.col("n_nationkey")).cast("long")
+    n = nation.select(F.col("n_regionkey").cast("long").alias("source_id"), tag.alias("target_id"))
+    s = read(spark, sf_dir, "supplier").select((1000 + F.col("s_nationkey")).cast("long").alias("source_id"), (10000 + F.col("s_suppkey")).alias("target_id"))
+    out = joins.lineage_neighbours(n.union(s).withColumn("edge_type", F.lit("derives")), nation.select(tag.alias("table_id")))
+    return out.select((F.col("table_id") - 1000).cast("int").alias("table_id"), "direction", "neighbour")
+
+
 @query("SELECT p_partkey AS node, CAST(floor(log2(p_partkey)) AS INTEGER) AS stage FROM part WHERE p_partkey >= 1")
 def stage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = read(spark, sf_dir, "part").where("p_partkey >= 1").select(F.col("p_partkey").alias("node"))
