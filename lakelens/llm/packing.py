@@ -4,11 +4,11 @@ Documents become pieces of at most ``capacity`` ids.  Lengths are integers, so
 the instance is a histogram of piece lengths, however many documents there are.
 The plan is made on it:
 
-1. *Reduction.*  Taking the longest piece, a set of at most three pieces with
-   it is fixed for good where it provably dominates every other choice (nothing
+1. *Reduction.*  Taking each length from the longest on, a set of at most three
+   pieces with it is fixed for good where it provably dominates every other (nothing
    fits beside it; one partner fills it up or is the best of the at most one
    that fits; a pair is the best of the at most two that fit).  Equal choices
-   are fixed in bulk.  The instance shrinks until no rule applies.
+   are fixed in bulk.  Passes are made until no rule applies to any length.
 2. *Best fit.*  What remains goes, longest first, to the fullest sequence that
    takes it; sequences with equal fill are handled together.
 
@@ -96,11 +96,11 @@ def _best_pair(c: _Counts, room: int) -> tuple[int, int]:
     return best
 
 
-def _dominating(c: _Counts, longest: int, capacity: int) -> tuple[int, ...] | None:
-    """Partners of the longest piece in a set that dominates all others, if one is proven."""
-    c.n[longest] -= 1
+def _dominating(c: _Counts, length: int, capacity: int) -> tuple[int, ...] | None:
+    """Partners of a piece of this length in a set that dominates all others, if one is proven."""
+    c.n[length] -= 1
     try:
-        room = capacity - longest
+        room = capacity - length
         partner = c.at_most(room)
         if not partner:
             return ()
@@ -119,7 +119,7 @@ def _dominating(c: _Counts, longest: int, capacity: int) -> tuple[int, ...] | No
                 return (a, b)
         return None
     finally:
-        c.n[longest] += 1
+        c.n[length] += 1
 
 
 def reduce_and_fit(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], int]:
@@ -127,19 +127,23 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> tuple[list[Pattern]
     c = _Counts(counts, capacity)
     plan: list[Pattern] = []
     fixed = 0
-    while c.n.any():
-        longest = c.at_most(capacity)
-        partners = _dominating(c, longest, capacity)
-        if partners is None:
-            break
-        chosen = (longest, *partners)
-        need = {x: chosen.count(x) for x in chosen}
-        times = int(min(c.n[x] // k for x, k in need.items()))
-        # the tests only grow truer as pieces go, and the chosen ones last: fix in bulk
-        plan.append(Pattern(chosen, times))
-        fixed += times
-        for x, k in need.items():
-            c.n[x] -= k * times
+    more = True
+    while more:  # a piece that is fixed may let a rule apply to longer ones
+        more, length = False, c.at_most(capacity)
+        while length:
+            partners = _dominating(c, length, capacity)
+            if partners is None:
+                length = c.at_most(length - 1)
+                continue
+            chosen = (length, *partners)
+            need = {x: chosen.count(x) for x in chosen}
+            times = int(min(c.n[x] // k for x, k in need.items()))
+            # the tests only grow truer as pieces go, and the chosen ones last: fix in bulk
+            plan.append(Pattern(chosen, times))
+            fixed += times
+            for x, k in need.items():
+                c.n[x] -= k * times
+            more, length = True, c.at_most(length)
     # best fit, longest first: open sequences by room left, equal ones together
     rooms: dict[int, list[list]] = {}
     for length in range(capacity, 0, -1):

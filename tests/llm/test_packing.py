@@ -88,3 +88,11 @@ def test_pack(spark, make_docs):
 
 def test_empty(spark, make_docs):
     assert packing.pack(spark, make_docs([])).count() == 0
+
+
+def test_reduction_goes_on_past_a_length_without_partners():
+    # three short ones fit beside 90, whose fill is not proven; 60 and 40 fill up exactly
+    counts = {90: 2, 60: 5, 40: 5, 3: 2, 2: 9}
+    plan, fixed = packing.reduce_and_fit(counts, 100)
+    assert fixed >= 5 and packing.Pattern((60, 40), 5) in plan
+    assert sorted(x for p in plan for x in p.lengths for _ in range(p.times)) == sorted(x for x, n in counts.items() for _ in range(n))
