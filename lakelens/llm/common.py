@@ -2,8 +2,9 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
 driver and executors share, so a lost executor costs a re-read, not a re-run of
-the whole lineage.  Only where that setting is absent (tests) a temporary
-folder takes its place.
+the whole lineage.  Only in local mode (tests) may that setting be absent; a
+temporary folder then takes its place.  What a lazy result still reads can't be
+deleted here: like checkpoint files it stays until the folder is cleared.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     bounded_batches(spark)
     place = spark.conf.get(_SETTING, None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set(_SETTING, place)
     return place.rstrip("/")
@@ -73,3 +76,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shuffle_tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any(f"{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"{n}{tail}" for n in names]
