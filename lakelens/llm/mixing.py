@@ -9,7 +9,12 @@ The mix is drawn in blocks of equally many words.  Sainte-Lague's quotients
 target / (2 * seats + 1) give each source an integer number of blocks, and again,
 with a source's sizes per shard as votes, each shard of a source its quota.  Only
 quotients near the last seat need comparing, so the candidates are a few times
-the parties, not the seats.
+the parties, not the seats, and blocks may be as small as the data ask for: at most
+1 / ``grain`` of the smallest target and, within a source, of its mean shard.  So
+rounding a quota to blocks, and stopping it at ``repeats`` times its stream, costs a
+source less than 2 / ``grain`` of its target at any ratio of sources and shards.
+
+The tables of sources are ordered as a whole: a row of a few numbers a source.
 
 Within a shard of a source, documents stand in seeded order as one stream of
 words.  A quota of one or more times the stream takes it whole that often; the
@@ -29,20 +34,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakelens.llm.common import Scratch
+from lakelens.llm.common import Scratch, fresh
 
 
 @dataclass(frozen=True)
 class Params:
     """weights: of the sources in turn; percent: of all words that the mix has; repeats:
     times a document may be taken; blocks: the mix is divided into so many at least;
-    shard_rows: documents a shard of a source should hold; seed: of all choices."""
+    shard_rows: documents a shard of a source should hold; grain: blocks in the smallest
+    target and in a source's mean shard, at least; seed: of all choices."""
 
     weights: tuple[int, ...] = (3, 1, 2)
     percent: int = 150
     repeats: int = 2
     blocks: int = 65536
     shard_rows: int = 2000
+    grain: int = 256
     seed: int = 17
 
 
@@ -104,11 +111,16 @@ def mix(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> Data
                      / F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("target", F.least("cap", F.max("level").over(every) * F.col("weight")))
     mixed = F.ceil(F.sum("target").over(every))
-    s = s.withColumn("block", F.greatest(F.lit(1), F.floor(mixed / p.blocks)).cast("long"))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    s = s.withColumn("block", F.greatest(F.lit(1), F.floor(F.least(mixed / p.blocks, least / p.grain))).cast("long"))
     s = s.withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
     s = s.withColumn("one", F.lit(1))
     s = _apportion(s, ["one"], F.col("target"), F.col("seats"), ["no_source", "source"]).withColumnRenamed("quota", "blocks")
     s = s.withColumn("shards", F.ceil(F.col("docs") / p.shard_rows).cast("int"))
+    # within a source a block is at most 1 / grain of its mean shard
+    fine = F.greatest(F.lit(1), F.least("block", F.floor(F.col("source_size") / F.col("shards") / p.grain))).cast("long")
+    s = s.withColumn("fine", fine).withColumn("blocks", F.round(F.col("blocks") * F.col("block") / F.col("fine")).cast("long"))
+    s = s.drop("block").withColumnRenamed("fine", "block")
     s = scratch.keep(s.select("no_source", "source", "source_size", "target", "block", "blocks", "shards"), "targets")
     key = ["no_source", "source"]
     placed = sized.join(s, key).withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards")).cast("int"))
@@ -142,9 +154,11 @@ def take(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> Dat
     it, to the nearest whole number, so that no text is cut."""
     found = mix(spark, docs, params)
     times = found.withColumn("times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
+    draw, many = fresh(docs, "_draw", "_times")
     times = Scratch(spark, "mixing-take").keep(
-        times.where("times > 0").groupBy(F.col("draw").alias("_draw")).agg(F.max("times").alias("_times")), "times"
+        times.where("times > 0").groupBy(F.col("draw").alias(draw)).agg(F.max("times").alias(many)), "times"
     )
     own = F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(params.seed))
-    drawn = docs.withColumn("_draw", own).join(times, "_draw")
-    return drawn.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*[docs[c] for c in docs.columns])
+    drawn = docs.withColumn(draw, own).join(times, draw)
+    copies = F.explode(F.sequence(F.lit(1), F.col(many)))
+    return drawn.select(*docs.columns, copies.alias(many)).drop(many)
