@@ -37,11 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm import textvec as tv
-from lakelens.llm.common import Scratch
+from lakelens.llm.common import Scratch, fresh
 
 U64 = tv.U64
 _SLICE = 2 << 20
@@ -130,19 +130,20 @@ def _signatures(p: Params):
                 yield pa.record_batch(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array(size, pa.int64()),
                         pa.array([k if k is None else k[:per] for k in lists], pa.list_(pa.int64())),
                         pa.array([k if k is None else k[per:] for k in lists], pa.list_(pa.int64())),
                         pa.array([_sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "node", "n_shingles", "left_keys", "right_keys", "sketch"],
+                    names=["doc_id", "row_hash", "node", "n_shingles", "left_keys", "right_keys", "sketch"],
                 )
 
     return run
 
 
-_SIGNATURE = "doc_id long, node long, n_shingles long, left_keys array<long>, right_keys array<long>, sketch binary"
+_SIGNATURE = "doc_id long, row_hash long, node long, n_shingles long, left_keys array<long>, right_keys array<long>, sketch binary"
 
 
 def _close(n_a: np.ndarray, n_b: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -317,12 +318,17 @@ def _keys(left, right):
     return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id, kept) for every row of ``docs``."""
+    """(doc_id, row_hash, node, n_shingles, component_id, kept) for every row of ``docs``;
+    ``row_hash`` is ``_row_hash`` of the row."""
     p = params
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = scratch.keep(docs.mapInArrow(_signatures(p), _SIGNATURE), "signatures")
+    sig = scratch.keep(docs.withColumn("row_hash", _row_hash()).mapInArrow(_signatures(p), _SIGNATURE), "signatures")
     linked = sig.where("doc_id is not null and node is not null")
     nodes = scratch.keep(
         linked.groupBy("node").agg(
@@ -416,10 +422,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
     smallest = scratch.keep(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest")
     resolved = scratch.keep(named.join(smallest, "comp").select("node", "component_id"), "resolved")
     out = (
-        sig.select("doc_id", "node", "n_shingles")
+        sig.select("doc_id", "row_hash", "node", "n_shingles")
         .join(resolved, "node", "left")
         .select(
             "doc_id",
+            "row_hash",
             "node",
             "n_shingles",
             F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
@@ -431,15 +438,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """``docs`` with one document of each group left, in its own columns.
+    """``docs`` with one document of each group left, in its own columns, whatever their
+    names.
 
     Rows that repeat a kept document with the same text are one, unlike texts under one
-    doc_id are two; rows with a null doc_id and rows without words stay.
+    doc_id are judged each by itself; rows with a null doc_id and rows without words stay.
     """
-    scratch = Scratch(spark, "minhash-keep")
+    (own,) = fresh(docs, "_row_hash")
     keep = near_duplicates(spark, docs, params).where("kept and doc_id is not null")
-    keep = scratch.keep(keep.select(F.col("doc_id").alias("_kept_id"), F.col("n_shingles").alias("_kept_n")).distinct(), "keep")
-    empty = keep.groupBy("_kept_id").agg(F.max("_kept_n").alias("_kept_n"))
-    stay = docs.join(empty, docs["doc_id"] == empty["_kept_id"], "inner").drop("_kept_id", "_kept_n")
-    lost = docs.where(docs["doc_id"].isNull())
-    return stay.dropDuplicates(["doc_id", "text"]).union(lost)
+    keep = Scratch(spark, "minhash-keep").keep(keep.select(F.col("row_hash").alias(own)).distinct(), "keep")
+    stay = docs.withColumn(own, _row_hash()).join(keep, own, "left_semi").drop(own)
+    lost = docs.where(F.col("doc_id").isNull())
+    return stay.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).union(lost)

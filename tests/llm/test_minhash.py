@@ -93,3 +93,14 @@ def test_one_of_each_group_stays(spark, make_docs):
     # a row for each kept id and text; two unlike texts under one id are two documents
     heads = {(i, t) for i, t, *_ in rows if i is not None and want[i][0] == i}
     assert sorted(i for i in ids if i is not None) == sorted(i for i, _ in heads) and ids.count(None) == 1
+
+
+def test_clashing_names_and_texts_of_one_id(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words, "s"), (5, "quite another text of its own here", "s"), (5, words, "s")]
+    docs = make_docs(rows).withColumn("_row_hash", F.lit(1)).withColumn("_kept_id", F.lit("x"))
+    out = minhash.drop_near_duplicates(spark, docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((i, t) for i, t, _ in rows[:2])
