@@ -21,6 +21,7 @@ its input's own columns, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,10 +41,12 @@ _SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Params:
-    """sample: labelled documents of each quality to fit on, at most; rounds, rate,
-    ridge: of the gradient ascent; min_share: least share of content."""
+    """sample: labelled documents of each quality to fit on, at most; sample_lines: lines
+    of a document to fit on, at most; rounds, rate, ridge: of the gradient ascent;
+    min_share: least share of content."""
 
     sample: int = 1000
+    sample_lines: int = 4096
     rounds: int = 300
     rate: float = 0.1
     ridge: float = 1.0
@@ -271,28 +274,44 @@ def fit(sequences: list[tuple[np.ndarray, int]], p: Params) -> Field:
     return Field(theta[:width], theta[width:].reshape(2, 2))
 
 
-def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tv.slices_by_bytes(batch, "text", _SLICE):
-            got = analyse(*tv.column_bytes(part.column("text")))
-            rows = [got.features[a:z].tobytes() for a, z in zip(got.first[:-1], got.first[1:])]
-            yield pa.record_batch([pa.array(rows, pa.binary()), part.column("quality")], names=["features", "quality"])
+def _line_features(most: int):
+    """Each document's line features; of one with more than ``most`` lines a run of that
+    many from a place its own features decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.slices_by_bytes(batch, "text", _SLICE):
+                got = analyse(*tv.column_bytes(part.column("text")))
+                rows = []
+                for a, z in zip(got.first[:-1].tolist(), got.first[1:].tolist()):
+                    if z - a > most:
+                        a += zlib.crc32(got.features[a:z].tobytes()) % (z - a - most + 1)
+                        z = a + most
+                    rows.append(got.features[a:z].tobytes())
+                yield pa.record_batch([pa.array(rows, pa.binary()), part.column("quality")], names=["features", "quality"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Field:
-    """Fit on at most ``p.sample`` labelled documents of each quality."""
+    """Fit on at most ``p.sample`` labelled documents of each quality, and of each at most
+    ``p.sample_lines`` lines; equal rows of an id count once."""
     bounded_batches(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = None
     for quality in (0, 1):
-        some = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull())
+        some = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).distinct()
         some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
         picked = some if picked is None else picked.union(some)
     # at most 2 * sample ids are broadcast
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.join(F.broadcast(picked), "doc_id").select("text", "quality")
-    rows = rows.mapInArrow(_line_features, "features binary, quality int").orderBy("quality", F.xxhash64("features"), "features").limit(2 * p.sample).collect()
-    return fit([(np.frombuffer(r.features).reshape(-1, len(FEATURES)), 1 - r.quality) for r in rows], p)
+    rows = rows.mapInArrow(_line_features(p.sample_lines), "features binary, quality int").distinct()
+    fitted = []
+    for quality in (0, 1):
+        some = rows.where(F.col("quality") == quality).orderBy(F.xxhash64("features"), "features").limit(p.sample)
+        fitted += [(np.frombuffer(r.features).reshape(-1, len(FEATURES)), 1 - quality) for r in some.collect()]
+    return fit(fitted, p)
 
 
 def _verdict(part: pa.RecordBatch, field: Field, p: Params) -> tuple[Lines, dict[str, np.ndarray]]:
