@@ -45,6 +45,7 @@ class Params:
 
 
 _ROWS = 4096  # vectors scored at once
+_FAN = 64  # rows of counts that a task sums
 
 
 def _matrix(col: pa.Array, scale: int) -> np.ndarray:
@@ -93,11 +94,26 @@ def _histograms(ids: np.ndarray, queries: np.ndarray, low: np.ndarray, step: np.
     return run
 
 
-def _sum_counts(key, pdf):
-    import pandas as pd
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the rows of a task by part: a row a part goes on."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column("part").to_pylist(), b.column("counts")):
+            got = np.frombuffer(counts.as_buffer(), np.int64)
+            sums[part] = sums[part] + got if part in sums else got
+    if sums:
+        yield pa.record_batch(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"]
+        )
+
 
-    total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+def _summed(rows: DataFrame, tasks: int) -> DataFrame:
+    """One row a part, summed in a tree: no task reads more than ``_FAN`` rows of a part,
+    however many tasks counted."""
+    while tasks > 1:
+        tasks = -(-tasks // _FAN)
+        rows = rows.repartition(tasks).mapInArrow(_sum_counts, "part int, counts binary")
+    return rows
 
 
 def _bounds(queries: np.ndarray, p: Params):
@@ -149,14 +165,11 @@ def _select(spark: SparkSession, vectors: DataFrame, ids: np.ndarray, queries: n
     reach = np.abs(queries).sum(axis=1) * most
     low, high = -np.ceil(reach).astype(np.int64), np.ceil(reach).astype(np.int64) + 1
     above = np.zeros(len(ids), dtype=np.int64)  # scores known to lie above the range
+    tasks = vectors.rdd.getNumPartitions()
     while True:
         step = np.maximum(1, -(-(high - low) // p.bins))
-        parts = (
-            vectors.mapInArrow(_histograms(ids, queries, low, step, p), "part int, counts binary")
-            .groupBy("part")
-            .applyInPandas(_sum_counts, "part int, counts binary")
-            .collect()
-        )
+        counted = vectors.mapInArrow(_histograms(ids, queries, low, step, p), "part int, counts binary")
+        parts = _summed(counted, tasks).collect()
         counts = np.zeros((len(ids), p.bins + 2), dtype=np.int64)
         for r in parts:
             got = np.frombuffer(r.counts, np.int64).reshape(-1, p.bins + 2)
@@ -205,8 +218,9 @@ def search(spark: SparkSession, vectors: DataFrame, params: Params = Params()) -
             ids = np.array([r.vec_id for r in rows], dtype=np.int64)
             queries = np.floor(np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), width) * p.scale)
             part = _select(spark, vectors, ids, queries, p)
-            part = scratch.keep(part, f"won-{width}-{after}")
-            found = part if found is None else found.union(part)
+            # every block's winners go to one table, so that the plan stays as it is
+            part.write.mode("append").parquet(f"{scratch.path}/won")
+            found = spark.read.schema(part.schema).parquet(f"{scratch.path}/won")
             if len(rows) < p.query_block:
                 break
     if found is None:
