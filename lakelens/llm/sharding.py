@@ -4,10 +4,12 @@ Rows with equal texts form an indivisible group.  Differencing keeps partial
 partitions, each a load for every shard, and again and again joins the two with
 the largest spread, the heaviest shard of one onto the lightest of the other.
 
-It runs in two steps, so that no task or driver ever holds all groups:
+It runs in steps, so that no task or driver ever holds all groups:
 
-1. *In buckets.*  Groups are hashed to buckets and each bucket is divided into
-   bundles by differencing, one task a bucket.
+1. *In buckets.*  Groups are hashed to buckets of about ``bucket_groups`` and each
+   bucket is divided into bundles by differencing, one bucket after another in a
+   task.  While there are more than ``most_buckets`` buckets, their bundles are the
+   groups of a further level, so a bucket is bounded at any size of the table.
 2. *Overall.*  The driver differences the bundles together with the groups that
    are large against a shard and a fixed number of small ones held out for the
    finish.  Their number is bounded by the parameters: ``shards * buckets``
@@ -33,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakelens.llm.common import Scratch
+from lakelens.llm.common import Scratch, shuffle_tasks
 
 
 @dataclass(frozen=True)
 class Params:
-    """shards: how many; bucket_groups: groups a bucket should hold; most_buckets: the
-    bound on buckets; large_share: a group of more than total / (shards *
+    """shards: how many; bucket_groups: groups a bucket should hold; most_buckets: of the
+    last level, whose bundles the driver places; large_share: a group of more than total / (shards *
     large_share) is placed by itself; finish: small groups held out; salts: numbering
     groups of a shard."""
 
@@ -88,22 +90,21 @@ def differencing(sizes: list[int], shards: int) -> tuple[list[int], list[int]]:
 
 
 def _bundles(shards: int):
-    """Rows come by bucket; each bucket's groups are divided into ``shards`` bundles."""
+    """Rows come by bucket; each bucket's items are divided into ``shards`` bundles."""
 
     def divided(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (-r[3], r[0], r[1]))
-        bundle, _ = differencing([r[3] for r in rows], shards)
-        hashes, crcs, lengths, _ = zip(*rows)
+        rows.sort(key=lambda r: (-r[1], r[0]))
+        bundle, _ = differencing([r[1] for r in rows], shards)
+        items, loads = zip(*rows)
         return pa.record_batch(
-            [pa.array(hashes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(lengths, pa.int64()), pa.array([bucket * shards + b for b in bundle], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
-            names=["hash", "text_crc32", "size", "item", "load"],
+            [pa.array(items, pa.int64()), pa.array([bucket * shards + b for b in bundle], pa.int64()), pa.array(loads, pa.int64())],
+            names=["part", "item", "load"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = None, []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("bucket", "hash", "text_crc32", "size", "load")]
-            for k, *row in zip(*cols):
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "item", "load"))):
                 if k != bucket and rows:
                     yield divided(bucket, rows)
                     rows = []
@@ -115,8 +116,18 @@ def _bundles(shards: int):
     return run
 
 
+def _level(items: DataFrame, n: int, tasks: int, p: Params) -> tuple[DataFrame, int]:
+    """(part, item, load) of one level: each of ``n`` items (item, load) and the bundle it
+    is part of; and the number of buckets."""
+    # a level has at most a quarter of the items of the one before
+    buckets = max(1, -(-n // max(p.bucket_groups, 4 * p.shards)))
+    placed = items.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)))
+    tasks = max(1, min(buckets, tasks))
+    placed = placed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(_bundles(p.shards), "part long, item long, load long"), buckets
+
+
 _GROUP = ["hash", "text_crc32", "size"]
-_ITEMS = "hash long, text_crc32 long, size long, item long, load long"
 
 
 def shard(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -133,21 +144,28 @@ def shard(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> Da
     rows = scratch.keep(rows, "rows")
     groups = scratch.keep(rows.groupBy(*_GROUP).agg(F.sum("size").alias("load")), "groups")
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("load"), F.lit(0))).first()
-    buckets = max(1, min(p.most_buckets, -(-n // p.bucket_groups)))
     large = F.col("load") * (p.shards * p.large_share) > total
     # the held-out small groups are those that hash lowest
     finish = groups.where(~large).orderBy(F.xxhash64("hash"), *_GROUP).limit(p.finish)
     single = scratch.keep(groups.where(large).union(finish).withColumn("item", F.lit(None).cast("long")), "single")
     alone = single.orderBy(*_GROUP).collect()
-    rest = (
-        groups.join(single.select(*_GROUP), _GROUP, "left_anti")
-        .withColumn("bucket", F.pmod(F.xxhash64("hash", "size"), F.lit(buckets)).cast("int"))
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_bundles(p.shards), _ITEMS)
-    )
+    # unlike groups may share an item: they go together
+    rest = groups.join(single.select(*_GROUP), _GROUP, "left_anti").withColumn("item", F.xxhash64(*_GROUP))
+    rest = scratch.keep(rest, "rest")
+    level, buckets = _level(rest.groupBy("item").agg(F.sum("load").alias("load")), n, 4 * shuffle_tasks(spark), p)
+    level = scratch.keep(level, "level-0")
+    rest = rest.drop("load").join(level.select(F.col("part").alias("item"), F.col("item").alias("bundle")), "item")
+    rest = rest.drop("item").withColumnRenamed("bundle", "item")
+    k = 0
+    while buckets > p.most_buckets:
+        k += 1
+        below = level.groupBy("item").agg(F.sum("load").alias("load"))
+        level, buckets = _level(below, buckets * p.shards, 4 * shuffle_tasks(spark), p)
+        level = scratch.keep(level, f"level-{k}")
+        rest = rest.join(level.select(F.col("part").alias("item"), F.col("item").alias("bundle")), "item")
+        rest = rest.drop("item").withColumnRenamed("bundle", "item")
     rest = scratch.keep(rest, "bundles")
-    bundles = sorted(rest.groupBy("item").agg(F.sum("load").alias("load")).collect())
+    bundles = sorted(level.groupBy("item").agg(F.sum("load").alias("load")).collect())
     placed, _ = differencing([r.load for r in alone] + [r.load for r in bundles], p.shards)
     first = max((r.item for r in bundles), default=-1) + 1
     # bounded: a row for each bundle and each group placed by itself

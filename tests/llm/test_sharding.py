@@ -41,6 +41,14 @@ def test_balance(spark, make_docs):
     assert max(loads) - min(loads) <= max(2, 0.001 * sum(loads) / 16) or max(loads) == max(len(t) + 1 for _, t, _ in rows)
 
 
+def test_levels_of_buckets(spark, make_docs):
+    r = random.Random(3)
+    rows = [(i, "y" * r.randint(1, 60) + str(i), "s") for i in range(3000)]
+    params = sharding.Params(shards=4, bucket_groups=20, most_buckets=4, finish=32)
+    loads = check(spark, make_docs(rows), rows, params)
+    assert max(loads) - min(loads) <= 2
+
+
 def test_small_and_odd(spark, make_docs):
     check(spark, make_docs(ODD, extra=True), ODD)
     check(spark, make_docs([(1, "a", "s")]), [(1, "a", "s")])
