@@ -42,12 +42,12 @@ _SLICE = 2 << 20
 
 @dataclass(frozen=True)
 class Params:
-    """capacity: ids a sequence holds; end: id put after each document; groups: salted
-    groups the pieces of a length are numbered in; path: the tokenizer file."""
+    """capacity: ids a sequence holds; end: id put after each document; group_rows: pieces
+    that a salted group numbers when all have one length; path: the tokenizer file."""
 
     capacity: int = 1024
     end: int = 2
-    groups: int = 64
+    group_rows: int = 500_000
     path: str = field(default_factory=tokens.default_path)
 
 
@@ -243,28 +243,21 @@ def pack(spark: SparkSession, docs: DataFrame, params: Params | None = None) ->
     p = params or Params()
     scratch = Scratch(spark, "packing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = docs.mapInArrow(_cut(p), _PIECES).withColumn(
-        "grp", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(p.groups)).cast("int")
-    )
-    pieces = scratch.keep(pieces, "pieces")
-    # at most capacity * groups rows
-    counts = pieces.groupBy("length", "grp").agg(F.count("*").alias("n")).collect()
-    total: dict[int, int] = {}
-    before: dict[int, dict[int, int]] = {}
-    for r in sorted(counts, key=lambda r: (r.length, r.grp)):
-        before.setdefault(r.length, {})[r.grp] = total.get(r.length, 0)
-        total[r.length] = total.get(r.length, 0) + r.n
+    pieces = scratch.keep(docs.mapInArrow(_cut(p), _PIECES), "pieces")
+    # a row a length
+    total = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()}
     plan, _ = reduce_and_fit(total, p.capacity)
     lookup = Lookup.of(plan)
-    base = np.zeros((p.capacity + 1, p.groups), dtype=np.int64)
-    for length, groups in before.items():
-        for g, n in groups.items():
-            base[length, g] = n
+    groups = 64 * -(-max(1, sum(total.values())) // (64 * p.group_rows))
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
+    counts = pieces.groupBy("length", "grp").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    before = scratch.keep(counts.select("length", "grp", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before")), "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = b.column("length").to_numpy()
-            number = base[length, b.column("grp").to_numpy()] + b.column("rank").to_numpy() - 1
+            number = b.column("number").to_numpy()
             seq, offset = lookup.place(length, number)
             yield pa.record_batch(
                 [*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(offset)],
@@ -272,5 +265,6 @@ def pack(spark: SparkSession, docs: DataFrame, params: Params | None = None) ->
             )
 
     order = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = pieces.withColumn("rank", F.row_number().over(order).cast("long"))
+    numbered = pieces.withColumn("rank", F.row_number().over(order)).join(before, ["length", "grp"])
+    numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("number"))
     return numbered.mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
