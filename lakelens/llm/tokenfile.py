@@ -18,7 +18,10 @@ next, smaller level.  A key's slot is the rank of its bit.  A lookup costs a few
 bit probes whatever the shard's size, and a fingerprint rejects foreign keys.
 
 Shards are written by their tasks straight to the shared folder, under a name of
-the attempt's own; a manifest lists the finished ones with the ids before each.
+the attempt's own; ``manifest.json`` beside them, written last, lists the finished
+ones in order with their keys' range and the ids before each, so a folder can be
+read by any process (``Manifest.load``).  ``Shard.get`` reads a document with the
+hash's bits, of which there are a few a key, and a fixed number of small reads.
 
 Defined cases: a null text is an empty one (an end id alone); null doc_ids come
 first, are read in order and have no key; documents that repeat a doc_id follow
@@ -33,6 +36,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +59,15 @@ _SLOT = np.dtype([("print", "<u4"), ("run", "<u4"), ("first", "<u8")])
 class Params:
     """end: id after each document; gamma: bits a key at each level of the hash; levels:
     at most; path: the tokenizer file; shards: how many, default the session's shuffle
-    partitions; read_ids: ids read at once."""
+    partitions or a shard for each ``shard_bytes`` of text if those are more; read_ids:
+    ids read at once."""
 
     end: int = 0
     gamma: float = 1.7
     levels: int = 64
     path: str = field(default_factory=tokens.default_path)
     shards: int | None = None
+    shard_bytes: int = 256 << 20
     read_ids: int = 4 << 20
 
 
@@ -121,6 +127,7 @@ class ShardWriter:
         self.stream, self.kind = stream, np.dtype("<u4" if wide else "<u2")
         self.ends, self.keys, self.keyed = [np.zeros(1, "<u8")], [], []
         self.n_ids = 0
+        self.low = self.high = None  # keys
 
     def add(self, keys: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
         self.stream.write(ids.astype(self.kind).tobytes())
@@ -134,6 +141,8 @@ class ShardWriter:
         keyed = np.concatenate(self.keyed) if self.keyed else np.zeros(0, bool)
         nulls = int((~keyed).sum())  # they come first
         distinct, first, run = np.unique(keys[nulls:], return_index=True, return_counts=True)
+        if len(distinct):
+            self.low, self.high = int(distinct[0]), int(distinct[-1])
         index = PerfectHash.build(distinct, p.gamma, p.levels)
         slots = np.zeros(len(distinct), dtype=_SLOT)
         at = index.slots(distinct)
@@ -159,15 +168,39 @@ class Shard:
         length = int.from_bytes(tail[:4], "little")
         self.about = about = json.loads(self._at(size - 12 - length, length))
         self.kind = np.dtype(f"<u{about['width']}")
-        at = about["ids"] * about["width"]
-        self.ends = self._array(at, about["docs"] + 1, "<u8").astype(np.int64)
-        at += 8 * (about["docs"] + 1)
-        self.keys = self._array(at, about["docs"], "<i8")
-        at += 8 * about["docs"]
-        self.slots = self._array(at, about["keys"], _SLOT)
-        at += _SLOT.itemsize * about["keys"]
+        self.ends_at = about["ids"] * about["width"]
+        self.keys_at = self.ends_at + 8 * (about["docs"] + 1)
+        self.slots_at = self.keys_at + 8 * about["docs"]
+        at = self.slots_at + _SLOT.itemsize * about["keys"]
         self.index = PerfectHash(about["levels"], self._array(at, about["words"], "<u8"))
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return self._array(self.ends_at, self.about["docs"] + 1, "<u8").astype(np.int64)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return self._array(self.keys_at, self.about["docs"], "<i8")
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        return self._array(self.slots_at, self.about["keys"], _SLOT)
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """Ids of each document with this key, without reading the tables whole."""
+        one = np.array([key], dtype=np.int64)
+        at = int(self.index.slots(one)[0])
+        if at < 0:
+            return []
+        slot = self._array(self.slots_at + _SLOT.itemsize * at, 1, _SLOT)[0]
+        if slot["print"] != _fingerprint(one)[0]:
+            return []
+        first, run = int(slot["first"]), int(slot["run"])
+        if int(self._array(self.keys_at + 8 * first, 1, "<i8")[0]) != key:
+            return []
+        ends = self._array(self.ends_at + 8 * first, run + 1, "<u8").astype(np.int64).tolist()
+        return [self._array(a * self.kind.itemsize, z - a, self.kind) for a, z in zip(ends, ends[1:])]
+
     def _at(self, offset: int, length: int) -> bytes:
         self.stream.seek(offset)
         return self.stream.read(length)
@@ -194,11 +227,37 @@ class Shard:
 
 @dataclass(frozen=True)
 class Manifest:
-    """Where the shards lie, in document order, and the ids before each."""
+    """Where the shards lie, in document order, the ids before each, and the least and
+    greatest key in each (None where it has none)."""
 
     folder: str
     names: list[str]
     starts: list[int]
+    ranges: list[tuple[int | None, int | None]]
+
+    def save(self) -> None:
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/manifest.json.new") as out:
+            out.write(json.dumps({"names": self.names, "starts": self.starts, "ranges": self.ranges}).encode())
+        fs.move(f"{root}/manifest.json.new", f"{root}/manifest.json")
+
+    @staticmethod
+    def load(folder: str) -> Manifest:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_file(f"{root}/manifest.json") as f:
+            got = json.loads(f.read())
+        return Manifest(folder, got["names"], got["starts"], [tuple(x) for x in got["ranges"]])
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """Ids of every document with this key."""
+        fs, root = pafs.FileSystem.from_uri(self.folder)
+        out = []
+        for name, (low, high) in zip(self.names, self.ranges):
+            if low is not None and low <= key <= high:
+                with fs.open_input_file(f"{root}/{name}") as stream:
+                    out += Shard(stream).get(key)
+        return out
 
 
 def write(spark: SparkSession, docs: DataFrame, params: Params | None = None, folder: str | None = None) -> Manifest:
@@ -221,18 +280,23 @@ def write(spark: SparkSession, docs: DataFrame, params: Params | None = None, fo
             n = writer.close(p)
         if n:
             yield pa.record_batch(
-                [pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([writer.n_ids], pa.int64())],
-                names=["shard", "name", "n_ids"],
+                [pa.array([task.partitionId()], pa.int32()), pa.array([name]), *(pa.array([x], pa.int64()) for x in (writer.n_ids, writer.low, writer.high))],
+                names=["shard", "name", "n_ids", "low", "high"],
             )
         else:
             fs.delete_file(f"{root}/{name}")
 
-    shards = p.shards or shuffle_tasks(spark)
+    shards = p.shards
+    if not shards:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(shuffle_tasks(spark), -(-size // p.shard_bytes))
     ordered = docs.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     # a row per shard
-    done = sorted(ordered.mapInArrow(run, "shard int, name string, n_ids long").collect())
+    done = sorted(ordered.mapInArrow(run, "shard int, name string, n_ids long, low long, high long").collect(), key=lambda r: r.shard)
     starts = np.cumsum([0, *(r.n_ids for r in done)])[:-1].tolist()
-    return Manifest(folder, [r.name for r in done], starts)
+    manifest = Manifest(folder, [r.name for r in done], starts, [(r.low, r.high) for r in done])
+    manifest.save()
+    return manifest
 
 
 _DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -61,6 +61,11 @@ def test_round_trip(spark, make_docs):
                 assert n >= 1 and all(shard.ids(a + k, a + k + 1).tolist() in want[key] for k in range(n))
             absent = np.array([10**12, -3, 10**15 + 1])
             assert shard.find(absent)[0].tolist() == [-1, -1, -1]
+    again = tokenfile.Manifest.load(manifest.folder)
+    assert again == manifest
+    for key in (4, 6, 50, 101):
+        assert sorted(x.tolist() for x in again.get(key)) == sorted(want[key])
+    assert again.get(10**12) == [] and again.get(-3) == []
 
 
 def test_empty(spark, make_docs):
