@@ -3,6 +3,11 @@
 A byte goes if a string of ``Params.length`` bytes that covers it also starts
 anywhere else, in the same document or another.
 
+Passages of ``Params.words`` words or more that occur elsewhere are often shorter than
+that.  They are not removed but counted: the same steps run over texts in which a code
+of ``_CODE`` bytes, cut from the word's hash, stands for each word.  Two unlike words
+share a code by a chance of 1 in 2**24.
+
 *Finding what can match.*  Every window of ``length`` bytes is keyed by its
 minimizer, the least hash of the ``gram``-byte strings in it.  Equal windows
 have equal minimizers, so each maximal run of windows with one minimizer is a
@@ -29,8 +34,9 @@ window, by their hashes, so no task ever holds an unbounded group.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` keep
 all bytes; rows that repeat an id are separate documents and each other's
-copies; an empty table gives an empty result.  Segments are told apart by
-128 bits of hash (their key's and their own), windows by their bytes.
+copies; an empty table gives an empty result.  Whole segments, and the
+windows of what is still hot at the last level, are told apart by 128 bits of hash;
+all other windows are compared byte by byte through the index.
 """
 
 from __future__ import annotations
@@ -49,17 +55,23 @@ from lakelens.llm.common import Scratch, shuffle_tasks
 
 U64 = tv.U64
 _SLICE = 2 << 20
-_COLLECTION = 2 << 20
+_COLLECTION = 1 << 20
 
 
 @dataclass(frozen=True)
 class Params:
     """length: bytes of a passage; gram: bytes of the strings minimizers are taken
-    over; most: distinct segments of a key that one index takes."""
+    over; most: distinct segments of a key that one index takes; words, gram_words: the
+    same in words, for passages that are only counted (words 0: none are)."""
 
     length: int = 400
     gram: int = 64
     most: int = 256
+    words: int = 51
+    gram_words: int = 8
+
+
+_CODE = 3  # bytes of a word's code
 
 
 #: Seeds of the minimizers that make up a key, by level.
@@ -130,34 +142,51 @@ def segments_of(buf: np.ndarray, off: np.ndarray, p: Params, seeds: tuple[int, .
     }
 
 
+def _stable_order(key: np.ndarray, bound: int) -> np.ndarray:
+    """Stable argsort of keys in [0, bound): where key and place fit 63 bits, by sorting
+    both as one number, which numpy does much faster."""
+    place = max(1, len(key) - 1).bit_length()
+    if bound.bit_length() + place > 63:
+        return np.argsort(key, kind="stable")
+    both = (key << place) | np.arange(len(key))
+    both.sort()
+    return both & ((1 << place) - 1)
+
+
 def _suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order of their bytes up to their segment's end, ties by position.
     ``left``: bytes from each position to its segment's end.
 
-    Prefix doubling from six bytes on; only positions still tied are sorted again, and a
-    tied position's rank is the first row of its group."""
+    Prefix doubling from a few bytes on; only positions still tied are sorted again, and
+    a tied position's rank is the first row of its group."""
     n = len(text)
-    pad = np.concatenate([text.astype(np.uint16) + 1, np.zeros(6, np.uint16)])
-    first = np.zeros(n, dtype=np.int64)
-    for k in range(6):  # past the segment's end read as 0
-        first = first * 257 + np.where(left > k, pad[k : n + k], 0)
-    order = np.argsort(first, kind="stable")
+    seen = np.bincount(text, minlength=256) > 0
+    base = int(seen.sum()) + 1
+    code = np.cumsum(seen)[text]  # from 1 on; past the segment's end read as 0
+    have = int(41 / np.log2(base))
+    pad = np.concatenate([code, np.zeros(have, np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(have):
+        key = key * base + np.where(left > k, pad[k : n + k], 0)
+    order = _stable_order(key, base**have)
     rank = np.zeros(n, dtype=np.int64)
-    rows, key = np.arange(n), first[order]
-    have, deepest = 6, int(left.max(initial=0))
+    rows, key = np.arange(n), key[order]
+    deepest = int(left.max(initial=0))
     while True:
         new = np.concatenate(([True], key[1:] != key[:-1]))
         start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         rank[order[rows]] = rows[start][group] + 1
-        tied = np.diff(np.append(start, len(rows)))[group] > 1
+        many = np.diff(np.append(start, len(rows))) > 1
+        tied = many[group]
         rows = rows[tied]
         if not len(rows) or have >= deepest:
             return order
+        group = (np.cumsum(many) - 1)[group[tied]]
         at = order[rows]
         ahead = np.where(left[at] > have, rank[np.minimum(at + have, n - 1)], 0)
-        key = rank[at] * (n + 1) + ahead
-        again = np.argsort(key, kind="stable")
+        key = group * (n + 1) + ahead
+        again = _stable_order(key, int(many.sum()) * (n + 1))
         order[rows] = at[again]
         key = key[again]
         have *= 2
@@ -247,9 +276,10 @@ def _window_hashes(p: Params):
                 row = np.repeat(np.arange(len(n)), n)
                 start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 at = off[row] + start
-                value = tv.span_hash(tv.prefix_hash(buf), at, at + p.length)
+                # 128 bits: the same hash of two unlike images of the bytes
+                values = [tv.span_hash(tv.prefix_hash(x), at, at + p.length).view(np.int64) for x in (buf, buf ^ np.uint8(0xA5))]
                 cols = [part.column(c).take(pa.array(row)) for c in ("key", "content")]
-                yield pa.record_batch([*cols, pa.array(start), pa.array(value.view(np.int64))], names=["key", "content", "start", "window"])
+                yield pa.record_batch([*cols, pa.array(start), *map(pa.array, values)], names=["key", "content", "start", "window", "image"])
 
     return run
 
@@ -316,7 +346,34 @@ def _match_segments(p: Params):
     return run
 
 
-_REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary"
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with a code for each of its words."""
+    for batch in batches:
+        for part in tv.slices_by_bytes(batch, "text", _SLICE):
+            words = tv.words_of(*tv.column_bytes(part.column("text")))
+            codes = tv.word_hashes(words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _CODE :]
+            offsets = (words.first * _CODE).astype(np.int32)
+            text = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(codes))])
+            yield pa.record_batch([part.column("row_id"), text], names=["row_id", "text"])
+
+
+def _covered(marks: list, length: int, unit: int) -> np.ndarray:
+    """Starts and ends of what the windows of ``marks`` cover, in units; windows start at
+    whole units."""
+    lows = np.concatenate([np.array(m["lows"], dtype=np.int64) + m["start"] for m in marks])
+    highs = np.concatenate([np.array(m["highs"], dtype=np.int64) + m["start"] for m in marks])
+    first, last = -(-lows // unit), (highs - 1) // unit
+    some = first <= last
+    first, end = first[some], last[some] + length // unit
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = first[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return np.stack([first[at], reach[np.append(at[1:], len(first)) - 1]], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+
+
+_REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary, n_passage_words long"
 
 
 def _apply(p: Params):
@@ -324,27 +381,23 @@ def _apply(p: Params):
         for batch in batches:
             for part in tv.slices_by_bytes(batch, "text", _SLICE):
                 buf, off = tv.column_bytes(part.column("text"))
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
+                passages = part.column("word_marks").to_pylist()
                 for i, marks in enumerate(part.column("marks").to_pylist()):
                     body = buf[off[i] : off[i + 1]]
-                    gone = np.zeros(0, np.int64)
-                    removed = spans = 0
-                    if marks:
-                        edge = np.zeros(len(body) + 1, dtype=np.int64)
-                        lows = np.concatenate([np.array(m["lows"], dtype=np.int64) + m["start"] for m in marks])
-                        highs = np.concatenate([np.array(m["highs"], dtype=np.int64) + m["start"] for m in marks])
-                        np.add.at(edge, lows, 1)
-                        np.add.at(edge, highs - 1 + p.length, -1)
-                        cover = np.cumsum(edge[:-1]) > 0
-                        s, e = _intervals(cover)
-                        gone, removed, spans = np.stack([s, e], axis=1).ravel(), int(cover.sum()), len(s)
-                        body = body[~cover]
-                    for k, v in enumerate((int(off[i + 1] - off[i]), removed, spans, hashlib.sha256(body.tobytes()).hexdigest(), gone.tobytes())):
+                    gone = _covered(marks, p.length, 1) if marks else np.zeros((0, 2), np.int64)
+                    keep = np.ones(len(body), dtype=bool)
+                    for s, e in gone.tolist():
+                        keep[s:e] = False
+                    words = _covered(passages[i], p.words * _CODE, _CODE) if passages[i] else np.zeros((0, 2), np.int64)
+                    left = hashlib.sha256(body[keep].tobytes()).hexdigest()
+                    row = (len(body), int((~keep).sum()), len(gone), left, gone.tobytes(), int(np.diff(words, axis=1).sum()))
+                    for k, v in enumerate(row):
                         out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
                 yield pa.record_batch(
                     [part.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, kinds))],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "n_passage_words"],
                 )
 
     return run
@@ -406,11 +459,11 @@ def _hits(spark: SparkSession, texts: DataFrame, p: Params, scratch: Scratch, le
             )
         else:
             windows = scratch.keep(
-                hot.mapInArrow(_window_hashes(p), "key long, content long, start long, window long"), f"{t}-windows"
+                hot.mapInArrow(_window_hashes(p), "key long, content long, start long, window long, image long"), f"{t}-windows"
             )
-            twice = scratch.keep(windows.groupBy("window").count().where("count > 1").select("window"), f"{t}-twice")
+            twice = scratch.keep(windows.groupBy("window", "image").count().where("count > 1").select("window", "image"), f"{t}-twice")
             extra = (
-                windows.join(twice, "window")
+                windows.join(twice, ["window", "image"])
                 .groupBy("key", "content")
                 .agg(F.sort_array(F.collect_list("start")).alias("lows"))
                 .select("key", "content", "lows", F.expr("transform(lows, x -> x + 1)").alias("highs"))
@@ -426,19 +479,33 @@ def _hits(spark: SparkSession, texts: DataFrame, p: Params, scratch: Scratch, le
     return live, hits
 
 
+def _marks(live: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """The windows of each row that match, as ``name``."""
+    found = live.join(hits, ["key", "content"]).select("row_id", F.struct("start", "lows", "highs").alias("mark"))
+    return found.groupBy("row_id").agg(F.collect_set("mark").alias(name))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """Per document: bytes, removed bytes and spans, hash of the rest, and the removed
-    ranges (pairs of little-endian longs)."""
+    """Per document: bytes, removed bytes and spans, hash of the rest, the removed ranges
+    (pairs of little-endian longs), and the words in passages that occur elsewhere."""
     p = params
-    scratch = Scratch(spark, "rindex")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Rows equal in id and text are copies of each other and get equal results.
     docs = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    live, hits = _hits(spark, docs.select("row_id", "text"), p, scratch)
-    marks = (
-        live.join(hits, ["key", "content"])
-        .select("row_id", F.struct("start", "lows", "highs").alias("mark"))
-        .groupBy("row_id")
-        .agg(F.collect_set("mark").alias("marks"))
-    )
-    return docs.join(scratch.keep(marks, "marks"), "row_id", "left").select("doc_id", "text", "marks").mapInArrow(_apply(p), _REMOVED)
+    texts = docs.select("row_id", "text")
+    scratch = Scratch(spark, "rindex")
+    marks = scratch.keep(_marks(*_hits(spark, texts, p, scratch), "marks"), "marks")
+    scratch.drop("l0-live", "l0-hits")
+    if p.words:
+        inner = Params(length=p.words * _CODE, gram=p.gram_words * _CODE, most=p.most, words=0)
+        coded = texts.where(F.octet_length("text") >= 2 * p.words - 1).mapInArrow(_coded, "row_id long, text binary")
+        coded = scratch.keep(coded.where(F.octet_length("text") >= inner.length), "coded")
+        words = Scratch(spark, "rindex-words")
+        passages = scratch.keep(_marks(*_hits(spark, coded, inner, words), "word_marks"), "word-marks")
+        words.drop("l0-live", "l0-hits")
+        scratch.drop("coded")
+        marks = marks.join(passages, "row_id", "full")
+    else:
+        marks = marks.withColumn("word_marks", F.expr("cast(null as array<struct<start: bigint, lows: array<bigint>, highs: array<bigint>>>)"))
+    marked = docs.join(marks, "row_id", "left").select("doc_id", "text", "marks", "word_marks")
+    return marked.mapInArrow(_apply(p), _REMOVED)

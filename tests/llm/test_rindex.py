@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -23,11 +24,26 @@ def brute(texts, length):
     return out
 
 
+def brute_words(texts, n):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    c = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        cover = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if c[tuple(w[i : i + n])] > 1:
+                cover[i : i + n] = True
+        out.append(int(cover.sum()))
+    return out
+
+
 def check(spark, make_docs, rows, params):
     got = rindex.remove_repeats(spark, make_docs(rows, extra=True), params).collect()
     want = brute([(t or "").encode() for _, t, *_ in rows], params.length)
     told = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
     assert told == sorted((str(i), *w) for (i, *_), w in zip(rows, want))
+    words = brute_words([(t or "").encode() for _, t, *_ in rows], params.words)
+    assert sorted((str(r.doc_id), r.n_passage_words) for r in got) == sorted((str(i), n) for (i, *_), n in zip(rows, words))
 
 
 def corpus(seed, n=60):
@@ -44,7 +60,7 @@ def corpus(seed, n=60):
 
 @pytest.mark.parametrize("seed,most", [(1, 256), (2, 2), (3, 1), (4, 256), (5, 256)])
 def test_against_brute_force(spark, make_docs, seed, most):
-    check(spark, make_docs, corpus(seed), rindex.Params(length=40, gram=12, most=most))
+    check(spark, make_docs, corpus(seed), rindex.Params(length=40, gram=12, most=most, words=6, gram_words=2))
 
 
 def test_odd_rows(spark, make_docs):
@@ -60,6 +76,23 @@ def test_production_length(spark, make_docs):
     check(spark, make_docs, rows, rindex.Params())
 
 
+def test_planted_passages(spark, make_docs):
+    """Passages of over 50 words, under and over 400 bytes, in documents of their own."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (51, 55, 60, 70, 90)]
+    rows = []
+    for i in range(120):
+        own = [word() for _ in range(r.randint(60, 300))]
+        if i % 3 == 0:
+            own.insert(r.randint(0, len(own)), passages[i // 3 % 5])
+        rows.append((i, " ".join(own), "s"))
+    rows.append((500, " ".join(passages[0].split()[:50]), "s"))
+    check(spark, make_docs, rows, rindex.Params())
+    got = {x.doc_id: x.n_passage_words for x in rindex.remove_repeats(spark, make_docs(rows)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(0, 120, 3))
+
+
 def test_matching_statistics():
     r = np.random.default_rng(2)
     text = r.integers(97, 100, size=400).astype(np.uint8)
