@@ -448,12 +448,9 @@ def _hits(spark: SparkSession, texts: DataFrame, p: Params, scratch: Scratch, le
             named = hot.withColumn("row_id", F.xxhash64("key", "content"))
             inner, deeper = _hits(spark, named.select("row_id", F.col("bytes").alias("text")), p, scratch, level + 1)
             # an inner hit's windows, counted from its segment's start
-            spread = (
-                inner.join(deeper, ["key", "content"])
-                .select("row_id", F.posexplode("lows").alias("i", "low"), "highs", "start")
-                .select("row_id", (F.col("low") + F.col("start")).alias("low"), (F.expr("highs[i]") + F.col("start")).alias("high"))
-            )
-            merged = spread.groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("w"))
+            found = inner.join(deeper, ["key", "content"]).groupBy("row_id").agg(F.collect_list(F.struct("start", "lows", "highs")).alias("w"))
+            moved = "transform(w, x -> zip_with(x.lows, x.highs, (l, h) -> struct(l + x.start as low, h + x.start as high)))"
+            merged = found.select("row_id", F.expr(f"array_sort(array_distinct(flatten({moved})))").alias("w"))
             extra = named.select("row_id", "key", "content").join(merged, "row_id").select(
                 "key", "content", F.expr("w.low").alias("lows"), F.expr("w.high").alias("highs")
             )
