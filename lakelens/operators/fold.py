@@ -10,10 +10,10 @@ Input events are rows of (event_id, event_type, idempotency_key, ts, payload):
 ``ts`` in epoch milliseconds, ``payload`` a JSON object.  A key's events all meet
 in one task; a run, sensor or backfill is bounded by its own plan.
 
-Defined cases: unknown event types and payloads that aren't objects are skipped;
-an event whose idempotency key was applied before is skipped, one that was not
-applied leaves its key free; null ids are skipped; an empty table gives empty
-states.
+Defined cases: unknown event types, payloads that aren't objects, lack what their
+event needs or hold fields of another type are skipped; an event whose idempotency
+key was applied before, by any entity, is skipped, one that was not applied leaves its
+key free; null ids are skipped; an empty table gives empty states.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.functions.encoded import millis_of_ulid, parse_timer
+from lakelens.operators.graph import cut
 
 TERMINAL = {"SUCCEEDED", "FAILED", "SKIPPED", "CANCELLED"}
 #: How far a task state is on its way, for ties between versions.
@@ -37,6 +38,33 @@ _COUNTER = {s: f"tasks_{s.lower()}" for s in TERMINAL}
 Handler = Callable[["Machine", dict, str, int], bool]
 
 
+_ANY = {
+    str: ("task_key", "attempt_id", "timer_id", "eval_id", "chunk_id", "dispatch_id", "worker_queue", "outcome", "timer_type", "asset_key", "partition_key", "visibility_state", "from_state", "to_state"),
+    int: ("attempt", "max_attempts", "heartbeat_at", "fire_at", "state_version", "expected_state_version", "chunk_size", "chunk_index", "published_at"),
+    list: ("tasks", "depends_on", "run_requests"),
+    dict: ("labels", "output", "visibility"),
+}
+_TYPES = {name: kind for kind, names in _ANY.items() for name in names}
+_NEEDS = {
+    "DispatchRequested": ("task_key", "attempt"), "TimerRequested": ("timer_id",), "TimerEnqueued": ("timer_id",), "TimerFired": ("timer_id",),
+    "SensorEvaluated": ("eval_id",), "BackfillChunkPlanned": ("chunk_id",), "TaskFinished": ("outcome",), "TaskCompletionRecorded": ("outcome",),
+}
+
+
+def well_formed(kind: str, body: Any) -> bool:
+    """Whether a payload has what its event needs, each field of its type where it isn't null."""
+    if not isinstance(body, dict) or any(body.get(n) is None for n in _NEEDS.get(kind, ())):
+        return False
+    for name, value in body.items():
+        want = _TYPES.get(name)
+        if want and value is not None and (not isinstance(value, want) or isinstance(value, bool)):
+            return False
+    for d in body.get("tasks") or []:
+        if not well_formed("", d) or not isinstance(d.get("key"), str) or not all(isinstance(x, str) for x in d.get("depends_on") or []):
+            return False
+    return body.get("visibility") is None or well_formed("", body["visibility"])
+
+
 class Machine:
     """Applies events in order; ``on`` maps an event type to its transition."""
 
@@ -53,7 +81,7 @@ class Machine:
             body = json.loads(payload or "")
         except ValueError:
             return False
-        if not isinstance(body, dict):
+        if not well_formed(kind, body):
             return False
         done = bool(step(self, body, event_id, int(ts)))
         if done and key is not None:
@@ -545,7 +573,33 @@ MACHINES: dict[str, type] = {"run_id": RunMachine, "sensor_id": SensorMachine, "
 def fold_events(events: DataFrame, by: str) -> DataFrame:
     """Final rows of every key's machine as JSON, by entity.  ``events`` carry the key in
     column ``by`` (run_id, sensor_id or backfill_id).  Keys are dealt out by hash and come
-    to their task in order, so a machine holds one key's rows and no more."""
+    to their task in order, so a machine holds one key's rows and no more.
+
+    An idempotency key counts once over all machines.  Machines that share none with
+    others are folded in one pass.  The few that do are folded again and again, without
+    the events whose key an earlier event of another machine was seen to apply, until
+    that set stays the same; each round settles at least the earliest open event."""
+    wanted = events.where(F.col(by).isNotNull() & F.col("event_id").isNotNull() & F.col("event_type").isin(*MACHINES[by].on))
+    slim = wanted.select(F.col(by).cast("string").alias(by), "event_id", "event_type", "idempotency_key", F.col("ts").cast("long").alias("ts"), "payload")
+    named = slim.where(F.col("idempotency_key").isNotNull()).groupBy("idempotency_key").agg(F.min(by).alias("a"), F.max(by).alias("b"))
+    shared = cut(named.where("a <> b").select("idempotency_key"))
+    if shared.isEmpty():
+        return _folded(slim, by)
+    touched = cut(slim.join(shared, "idempotency_key").select(by).distinct())
+    some = slim.join(touched, by)
+    banned = cut(some.select(by, "event_id").limit(0))
+    while True:
+        got = cut(_folded(some.join(banned, [by, "event_id"], "left_anti"), by, told=True))
+        applied = got.where("entity = 'applied'").select(F.col("entity_key").alias("idempotency_key"), F.col("row_version").alias("event_id"))
+        first = applied.join(shared, "idempotency_key").groupBy("idempotency_key").agg(F.min("event_id").alias("first"))
+        late = cut(some.join(first, "idempotency_key").where("event_id > first").select(by, "event_id").distinct())
+        if late.exceptAll(banned).isEmpty() and banned.exceptAll(late).isEmpty():
+            return _folded(slim.join(touched, by, "left_anti"), by).union(got.where("entity <> 'applied'"))
+        banned = late
+
+
+def _folded(slim: DataFrame, by: str, told: bool = False) -> DataFrame:
+    """One pass over the machines; with ``told`` also a row for each applied idempotency key."""
     make = MACHINES[by]
     names = ("event_id", "event_type", "idempotency_key", "ts", "payload")
 
@@ -568,14 +622,13 @@ def fold_events(events: DataFrame, by: str) -> DataFrame:
                     close()
                     machine, now, last = make(key), key, None
                 if event[0] != last:  # a repeated event id counts once
-                    machine.feed(*event)
+                    if machine.feed(*event) and told and event[2] is not None:
+                        out.append((key, "applied", event[2], event[0], None))
                     last = event[0]
             yield give()
         close()
         yield give()
 
-    wanted = events.where(F.col(by).isNotNull() & F.col("event_id").isNotNull() & F.col("event_type").isin(*make.on))
-    slim = wanted.select(F.col(by).cast("string").alias(by), "event_id", "event_type", "idempotency_key", F.col("ts").cast("long").alias("ts"), "payload")
     return slim.repartition(by).sortWithinPartitions(by, "event_id").mapInArrow(run, FOLDED)
 
 

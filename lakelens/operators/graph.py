@@ -19,6 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 

@@ -1,16 +1,14 @@
 """Merging versioned rows: base and deltas, tombstones, watermarks, late events.
 
 Everything is one aggregation per key with map-side combine: the winner of a key
-is ``max_by`` over an order struct, so a hot key costs a row per task.  Only the
-sequence rule with missing sequences, which is not associative, folds in order.
+is ``max_by`` over an order struct, so a hot key costs a row per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.operators.fold import TASK_RANK
@@ -80,25 +78,14 @@ def compaction_due(deltas: DataFrame, now_ms: int, count: int = 10, rows: int =
 
 
 def upsert_by_sequence(rows: DataFrame, key: str, sequence: str = "sequence", order: str = "event_id") -> DataFrame:
-    """Fold upserts in ``order``: a repeated idempotency key counts once (its first), and a
+    """Upserts taken in ``order``: a repeated idempotency key counts once (its first), and a
     row with a sequence yields only to one at least as high; one without yields to any.
-    A key's versions meet in one task."""
-    values = [c for c in rows.columns if c not in (key, order)]
-    schema = rows.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
-            mine, theirs = (None if r is None or pd.isna(r[sequence]) else r[sequence] for r in (held, row))
-            if held is None or mine is None or (theirs is not None and theirs >= mine):
-                held = row
-        return pd.DataFrame([held], columns=pdf.columns)
-
+    So a key's last row in order of (sequence, order), nulls first, is the one that stays."""
     once = rows
-    if "idempotency_key" in values:
+    if "idempotency_key" in rows.columns and key != "idempotency_key":
         named = rows.where(F.col("idempotency_key").isNotNull())
         once = first_write(named, ["idempotency_key"], [order]).unionByName(rows.where(F.col("idempotency_key").isNull()))
-    return once.groupBy(key).applyInPandas(fold, schema)
+    return latest(once, [key], [sequence, order])
 
 
 def after_watermark(events: DataFrame, watermark: str | None) -> DataFrame:
@@ -179,12 +166,17 @@ def prune_runs(runs: DataFrame, dependants: dict[str, DataFrame], now_ms: int, d
 
 def append_once(ledger: DataFrame, incoming: DataFrame, body: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(new events, conflicts): an id already in the ledger is a replay if its bytes are the
-    same and a conflict if they aren't; ids repeated in the batch are held to that too."""
+    same and a conflict if they aren't; ids repeated in the batch are held to that too.
+
+    Only the ledger's rows with an id of the batch are hashed, and those between its least
+    and greatest id are all that a store with statistics needs to read."""
     hashed = incoming.withColumn("_h", F.sha2(F.col(body).cast("string"), 256))
-    batch = Window.partitionBy("event_id")
-    hashed = hashed.withColumn("_kinds", F.size(F.collect_set("_h").over(batch)))
-    known = ledger.select("event_id", F.sha2(F.col(body).cast("string"), 256).alias("_known"))
-    told = hashed.join(known, "event_id", "left")
+    kinds = hashed.groupBy("event_id").agg(F.count_distinct("_h").alias("_kinds"))
+    ends = incoming.agg(F.min("event_id"), F.max("event_id")).first()
+    hits = ledger.where(F.col("event_id").between(*ends)) if ends[0] is not None else ledger.limit(0)
+    hits = hits.join(kinds.select("event_id"), "event_id", "left_semi")
+    known = hits.select("event_id", F.sha2(F.col(body).cast("string"), 256).alias("_known")).distinct()
+    told = hashed.join(kinds, "event_id").join(known, "event_id", "left")
     bad = (F.col("_kinds") > 1) | (F.col("_known").isNotNull() & (F.col("_known") != F.col("_h")))
     conflicts = told.where(bad).select(*incoming.columns)
     fresh = told.where(~bad & F.col("_known").isNull()).select(*incoming.columns).dropDuplicates(["event_id"])

@@ -2,9 +2,11 @@
 
 A statement is parsed by Catalyst without being run, so commands never execute.
 The parsed tree is walked for relations, table functions and functions; only
-queries over allowed names pass.  Names are bound by rewriting the tree's
-relations to private temporary views, so a third-party catalog is not needed and
-an unrelated missing table breaks nothing.
+queries over allowed names pass.  Every relation in the tree knows where it stands in
+the text; just there a private temporary view is put in its place, and nowhere else:
+literals, comments and other names stay as they are.  The views are dropped as soon as
+the query is analysed.  So a third-party catalog is not needed, an unrelated missing
+table breaks nothing and no view of the caller's is touched.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import io
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -72,6 +74,12 @@ def _children(node) -> list:
     return out
 
 
+def _place(node) -> tuple[int, int]:
+    """Where a node stands in the text."""
+    at = node.origin()
+    return at.startIndex().get(), at.stopIndex().get() + 1
+
+
 @dataclass
 class Parsed:
     """A checked statement: its relations in order of appearance, common table names out."""
@@ -79,6 +87,10 @@ class Parsed:
     sql: str
     relations: list[tuple[str, ...]] = field(default_factory=list)
     functions: set[str] = field(default_factory=set)
+    #: where relations stand: (start, end) to (name, where an alias would go or None)
+    places: dict[tuple[int, int], tuple[tuple[str, ...], int | None]] = field(default_factory=dict)
+    #: where qualified columns and stars stand: (start, end) to (parts, is a star)
+    columns: dict[tuple[int, int], tuple[tuple[str, ...], bool]] = field(default_factory=dict)
 
 
 def parse(spark: SparkSession, sql: str) -> Parsed:
@@ -100,25 +112,39 @@ def parse(spark: SparkSession, sql: str) -> Parsed:
     parsed = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
     found: list[tuple[str, ...]] = []
 
-    def walk(node) -> None:
+    def walk(node, above: tuple[str, ...] = (), outer=None) -> None:
         kind = node.getClass().getSimpleName()
         if commands.isInstance(node) or parsed.isInstance(node) or kind in ("InsertIntoStatement", "CompoundBody", "UnresolvedTableOrView"):
             raise QueryError(READ_ONLY)
+        if kind in ("PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier"):
+            raise QueryError("names must be written out")
         if kind == "UnresolvedWith":
             for pair in _seq(node.cteRelations()):
                 ctes.add(pair._1().lower())
                 walk(pair._2())
         elif kind == "UnresolvedRelation":
-            found.append(tuple(_seq(node.multipartIdentifier())))
+            name, at = tuple(_seq(node.multipartIdentifier())), _place(node)
+            found.append(name)
+            sampled = above[-1:] == ("Sample",)
+            alias = None if "SubqueryAlias" in above[-1 - sampled :] else (_place(outer) if sampled else at)[1]
+            if text[: at[0]].rstrip().lower().endswith("table"):  # TABLE name
+                alias = None
+            out.places[at] = (name, alias)
+        elif kind == "UnresolvedAttribute":
+            out.columns[_place(node)] = (tuple(_seq(node.nameParts())), False)
+        elif kind == "UnresolvedStar" and node.target().isDefined():
+            out.columns[_place(node)] = (tuple(_seq(node.target().get())), True)
         elif kind == "UnresolvedTableValuedFunction":
             out.functions.add(".".join(_seq(node.name())).lower())
         elif kind == "UnresolvedFunction":
             out.functions.add(".".join(_seq(node.nameParts())).lower())
         for child in _children(node):
-            walk(child)
+            walk(child, (*above[-1:], kind), node)
 
     walk(plan)
-    out.relations = list(dict.fromkeys(r for r in found if not (len(r) == 1 and r[0].lower() in ctes)))
+    inside = lambda r: len(r) == 1 and r[0].lower() in ctes
+    out.relations = list(dict.fromkeys(r for r in found if not inside(r)))
+    out.places = {at: x for at, x in out.places.items() if not inside(x[0])}
     bad = sorted(f for f in out.functions if f in FORBIDDEN_FUNCTIONS)
     if bad:
         raise QueryError(f"function not allowed: {bad[0]}")
@@ -128,53 +154,47 @@ def parse(spark: SparkSession, sql: str) -> Parsed:
 Resolver = Callable[[tuple[str, ...]], DataFrame | None]
 
 
-def _bind(spark: SparkSession, parsed: Parsed, tables: dict[tuple[str, ...], DataFrame]) -> tuple[DataFrame, list[str]]:
+def _bind(spark: SparkSession, parsed: Parsed, tables: dict[tuple[str, ...], DataFrame]) -> DataFrame:
     """The query's DataFrame with each relation bound to a private view."""
-    views, sql = [], parsed.sql
-    for name in sorted(tables, key=len, reverse=True):
-        if len(name) == 1:  # a name of its own: bound as it is, analysis is immediate
-            tables[name].createOrReplaceTempView(name[0])
-            views.append(name[0])
-            continue
-        view = f"gate_{uuid.uuid4().hex}"
-        tables[name].createOrReplaceTempView(view)
-        views.append(view)
-        sql = _rename(sql, name, view)
-    return spark.sql(sql), views
-
-
-def _rename(sql: str, name: tuple[str, ...], view: str) -> str:
-    """Replace whole multi-part identifiers outside quotes; a bare mention keeps its last
-    part as the alias, so that qualified columns still resolve."""
-    import re
-
-    part = lambda p: rf"(?:`{re.escape(p)}`|(?<![\w`]){re.escape(p)}(?![\w`]))"
-    pattern = re.compile(r"\s*\.\s*".join(part(p) for p in name), re.IGNORECASE)
-    pieces = re.split(r"('(?:[^']|'')*')", sql)
-
-    def one(m: re.Match) -> str:
-        after = m.string[m.end() :].lstrip()
-        if after.startswith("."):  # a column's qualifier
-            return f"`{name[-1]}`"
-        word = re.match(r"(?i)(as\s+)?`?([a-z_]\w*)`?", after)
-        taken = word and (word[1] or word[2].upper() not in _KEYWORDS)
-        return f"`{view}`" + ("" if taken else f" AS `{name[-1]}`")
-
-    return "".join(p if k % 2 else pattern.sub(one, p) for k, p in enumerate(pieces))
-
-
-_KEYWORDS = set("WHERE GROUP ORDER LIMIT OFFSET HAVING JOIN INNER LEFT RIGHT FULL CROSS NATURAL SEMI ANTI ON USING UNION INTERSECT EXCEPT MINUS WINDOW LATERAL CLUSTER DISTRIBUTE SORT PIVOT UNPIVOT TABLESAMPLE QUALIFY".split())
+    quoted = lambda x: f"`{x.replace('`', '``')}`"
+    views = {name: f"gate_{uuid.uuid4().hex}" for name in tables}
+    edits: list[tuple[int, int, str]] = []
+    for (start, end), (name, alias) in parsed.places.items():
+        edits.append((start, end, views[name]))
+        if alias is not None:  # its last part stays its alias, so that qualified columns resolve
+            edits.append((alias, alias, f" AS {quoted(name[-1])}"))
+    for (start, end), (parts, star) in parsed.columns.items():
+        for name in tables:
+            short = len(parts) >= len(name) + (not star) and len(name) > 1
+            if short and [x.lower() for x in parts[: len(name)]] == [x.lower() for x in name]:
+                edits.append((start, end, ".".join(map(quoted, parts[len(name) - 1 :])) + ".*" * star))
+                break
+    sql = parsed.sql
+    for start, end, text in sorted(edits, reverse=True):
+        sql = sql[:start] + text + sql[end:]
+    try:
+        for name, view in views.items():
+            tables[name].createOrReplaceTempView(view)
+        return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 @dataclass
 class Snapshot:
-    """The metadata query surface: two-part snapshot names and allowed system names."""
+    """The metadata query surface: two-part snapshot names and allowed system names.
+    ``names`` are those the surface knows of, whether or not a snapshot has them yet."""
 
     tables: dict[str, DataFrame]  # "schema.table" or "system.schema.table", lower case
+    names: frozenset[str] = frozenset()
 
     def bind(self, spark: SparkSession, sql: str) -> DataFrame:
         parsed = parse(spark, sql)
         known: dict[tuple[str, ...], DataFrame] = {}
+        asked = [x for x in (".".join(n).lower() for n in parsed.relations) if x in self.tables or x in self.names]
+        if asked and not any(x in self.tables for x in asked):
+            raise NotFound("no snapshot tables available for query")
         for name in parsed.relations:
             df = self.tables.get(".".join(name).lower())
             if df is not None:
@@ -214,7 +234,7 @@ class UserData:
 
 def _run(spark: SparkSession, parsed: Parsed, known: dict) -> DataFrame:
     try:
-        df, _ = _bind(spark, parsed, known)
+        df = _bind(spark, parsed, known)
     except (AnalysisException, ParseException) as e:
         raise QueryError(str(e)) from e
     return df.limit(MAX_ROWS)
@@ -232,22 +252,44 @@ def collect(df: DataFrame, form: str = "arrow", timeout_s: float = TIMEOUT_S) ->
         hit.set()
         spark.interruptTag(tag)
 
+    most = MAX_RESULT_BYTES if form == "arrow" else 8 * MAX_RESULT_BYTES
+    size = spark.conf.get(_BATCH_BYTES)
     timer = threading.Timer(timeout_s, stop)
     spark.addTag(tag)
+    spark.conf.set(_BATCH_BYTES, str(1 << 20))
     timer.start()
     try:
-        table = df.toArrow()
+        # one task holds the limited result; past the bound it stops, and the driver gets no more
+        table = df.coalesce(1).mapInArrow(_up_to(most), df.schema).toArrow()
     except Exception as e:
         raise (TimedOut("query timed out") if hit.is_set() else QueryError(str(e)) if isinstance(e, AnalysisException) else InternalError(str(e))) from e
     finally:
         timer.cancel()
+        spark.conf.set(_BATCH_BYTES, size)
         spark.removeTag(tag)
-    body = encode(table, form)
-    if len(body) > MAX_RESULT_BYTES:
+    body = b"" if table.nbytes > most else encode(table, form)
+    if table.nbytes > most or len(body) > MAX_RESULT_BYTES:
         raise TooLarge("result is too large")
     return body
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _up_to(most: int):
+    """Passes batches on until ``most`` bytes are exceeded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            yield batch
+            total += batch.nbytes
+            if total > most:
+                return
+
+    return run
+
+
 def encode(table: pa.Table, form: str) -> bytes:
     if form == "json":
         import json
@@ -296,4 +338,4 @@ def translate_functions(sql: str) -> str:
 
 def bind_views(spark: SparkSession, parsed: Parsed, tables: dict[tuple[str, ...], DataFrame]) -> DataFrame:
     """The whole result, without the row limit of the query surfaces."""
-    return _bind(spark, parsed, tables)[0]
+    return _bind(spark, parsed, tables)

@@ -41,7 +41,7 @@ def metadata_surface(tables: dict[str, DataFrame], tenant: str, workspace: str)
             known["lineage.lineage_edges" if name == "lineage.edges" else name] = df
         if name not in schemas.INTERNAL:
             known[f"system.{name}"] = system_view(df, name, tenant, workspace)
-    return Snapshot(known)
+    return Snapshot(known, frozenset(SNAPSHOT_TABLES) | {"lineage.lineage_edges"})
 
 
 @dataclass

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -230,3 +231,40 @@ def test_metastore(spark):
     assert {r.name: r.object_id for r in principal_names(df).collect()} == {"ann": "p", "anna": "p"}
     shown = safe_objects(state, "w")
     assert "secret" not in shown.columns and [(r.object_type, r.object_id) for r in shown.collect()] == [("CREDENTIAL", "c"), ("PRINCIPAL", "p"), ("TABLE", "s"), ("TABLE", "x")]
+
+
+# -- malformed payloads and the gate over all machines
+
+
+def test_malformed_payloads_are_skipped(spark):
+    bad = ["{}", '{"tasks":[{}]}', '{"tasks":[{"key":1}]}', '{"tasks":{"key":"a"}}', '{"tasks":[3]}', "[]", "null", "{", '{"attempt":"x","task_key":"a"}', '{"timer_id":7}', '{"visibility":[]}']
+    kinds = ["PlanCreated", "DispatchRequested", "TimerRequested", "TimerFired", "TaskStarted", "TaskFinished", "TaskOutputVisibilityChanged"]
+    rows = [("r", f"{i:03d}{j:02d}", kind, f"k{i}-{j}", 0, body) for i, kind in enumerate(kinds) for j, body in enumerate(bad)]
+    assert folded(spark, rows) == []
+    assert fold.fold_events(spark.createDataFrame([("s", "1", "SensorEvaluated", "k", 0, "{}")], EVENTS.replace("run_id", "sensor_id")), "sensor_id").where("entity = 'eval'").count() == 0
+
+
+def test_idempotency_keys_count_once_over_all_machines(spark):
+    run = lambda k: json.dumps({"plan_id": k})
+    rows = [
+        ("a", "01", "RunTriggered", "k1", 0, run("a")), ("b", "02", "RunTriggered", "k1", 0, run("b")),  # b's is a replay
+        ("c", "03", "TaskStarted", "k2", 0, json.dumps(attempt("x"))),  # not applied: its key stays free
+        ("d", "04", "RunTriggered", "k2", 0, run("d")),
+        # once b's trigger is gone, a later one of b applies and takes k3 from e
+        ("b", "05", "RunTriggered", "k3", 0, run("b2")), ("e", "06", "RunTriggered", "k3", 0, run("e")), ("f", "07", "RunTriggered", "k4", 0, run("f")),
+    ]
+    got = {r[0]: json.loads(r[4])["plan_id"] for r in folded(spark, rows[::-1]) if r[1] == "run"}
+    assert got == {"a": "a", "b": "b2", "d": "d", "f": "f"}
+
+
+def test_stream_emits_only_what_changed(spark, tmp_path):
+    events = [("r", "1", "RunTriggered", "a", 0, "{}"), ("r", "2", "PlanCreated", "b", 0, '{"tasks":[{"key":"x"},{"key":"y"}]}'), ("r", "3", "TaskStarted", "c", 0, json.dumps(attempt("x")))]
+    for e in (events[:2], events[2:]):
+        spark.createDataFrame(e, EVENTS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)
+    src = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = []
+    q = fold_stream(src, "run_id").writeStream.outputMode("update").foreachBatch(lambda df, i: out.append(sorted((r.entity, r.entity_key) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [x for x in out if x] == [[("run", "r"), ("task", "x"), ("task", "y")], [("task", "x")]]

@@ -1,4 +1,7 @@
 import json
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,19 +91,56 @@ def test_versioned_table(spark, tmp_path):
 
 def test_publishing_conflicts(spark, tmp_path):
     a, b = table(spark, tmp_path), table(spark, tmp_path)
-    stale = b.manifest()
     a.publish_base(spark.createDataFrame([("a", 1, "1")], SCHEMA))
-    b.manifest = lambda version=None: stale
+    b.version = lambda: 0
     with pytest.raises(Conflict):
         b.publish_base(spark.createDataFrame([("b", 1, "1")], SCHEMA))
     assert rows(a.read()) == [("a", 1)]
 
 
+def test_concurrent_deltas_all_arrive(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.publish_base(spark.createDataFrame([("a", 0, "0")], SCHEMA))
+    first = threading.Barrier(3)
+
+    def one(k):
+        own = table(spark, tmp_path)
+        create = own.files.create
+
+        def together(name, text):  # all three try for version 2 at once
+            if name == "manifests/2.json":
+                first.wait(60)
+            return create(name, text)
+
+        own.files.create = together
+        return own.publish_delta(spark.createDataFrame([(f"k{k}", k, "1")], SCHEMA))
+
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(one, range(3))) == [2, 3, 4]
+    assert rows(t.read()) == [("a", 0), ("k0", 0), ("k1", 1), ("k2", 2)]
+    counts = t.inventory()
+    assert sorted(counts.values()) == [1, 1, 1, 1] and set(counts) == {t.manifest()["base"], *(d["upserts"] for d in t.manifest()["deltas"])}
+
+
+def test_a_crash_between_steps_leaves_a_readable_table(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.publish_base(spark.createDataFrame([("a", 1, "1")], SCHEMA))
+    replace = t.files.replace
+    t.files.replace = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        t.publish_delta(spark.createDataFrame([("b", 2, "1")], SCHEMA))
+    t.files.replace = replace
+    assert t.version() == 2 and rows(t.read()) == [("a", 1), ("b", 2)]
+    t.files.delete("current.json")
+    assert rows(t.read()) == [("a", 1), ("b", 2)] and t.publish_delta(None, spark.createDataFrame([("b", 0, "")], SCHEMA)) == 3
+    assert t.row_count() == 1
+
+
 def test_future_manifests_fail(spark, tmp_path):
     t = table(spark, tmp_path)
     t.publish_base(spark.createDataFrame([("a", 1, "1")], SCHEMA))
     m = t.manifest() | {"schema_version": 2}
-    t.files.write("manifests/1.json", json.dumps(m), overwrite=True)
+    t.files.replace("manifests/1.json", json.dumps(m))
     with pytest.raises(ValueError):
         t.read()
 
@@ -143,13 +183,13 @@ def test_delta_log(spark, tmp_path):
     with pytest.raises(tableformats.CommitConflict):
         log.commit("c2", add("b"), read_version=5)
     assert log.commit("c3", [*add("b"), {"remove": {"path": "a"}}], read_version=0) == 1
-    assert log.active_files() == {"b"}
+    assert {r.path for r in log.active(spark).collect()} == {"b"}
     # a commit that stopped after its reservation is finished by the next
     body = log._body(add("z"))
     import hashlib
 
-    log.files.write("_coordinator/lost.json", json.dumps({"version": 2, "digest": hashlib.sha256(body.encode()).hexdigest(), "state": "inflight", "body": body}))
-    assert log.commit("c4", add("y")) == 3 and log.active_files() == {"b", "z", "y"}
+    log.files.create("_coordinator/lost.json", json.dumps({"version": 2, "digest": hashlib.sha256(body.encode()).hexdigest(), "state": "inflight", "body": body}))
+    assert log.commit("c4", add("y")) == 3 and {r.path for r in log.active(spark).collect()} == {"b", "z", "y"}
 
 
 def test_iceberg(spark, tmp_path):
@@ -234,13 +274,17 @@ def test_streaming_publication(spark, tmp_path):
 
 
 def test_notifications(spark, tmp_path):
-    spark.createDataFrame([("a", 1), ("b", 2), ("zz", 3)], "domain string, n int").write.parquet(str(tmp_path / "n"))
+    rows = [("a", k) for k in range(7)] + [("b", 2), ("zz", 3)]
+    spark.createDataFrame(rows, "domain string, n int").coalesce(1).write.parquet(str(tmp_path / "n"))
     src = spark.readStream.schema("domain string, n int").parquet(str(tmp_path / "n"))
-    got = {}
-    q = folds.notify_stream(src, ["a", "b"], lambda d, df: got.setdefault(d, [r.n for r in df.collect()]), str(tmp_path / "c"), seconds=0).start()
-    q.processAllAvailable()
+    got = []
+    q = folds.notify_stream(src, ["a", "b"], lambda d, df: got.append((d, sorted(r.n for r in df.collect()))), str(tmp_path / "c"), seconds=2, most=5).start()
+    end = time.time() + 40
+    while sum(len(x) for _, x in got) < 8 and time.time() < end:
+        time.sleep(0.2)
     q.stop()
-    assert got == {"a": [1], "b": [2]}
+    # five at once by their number, the rest when their time was up
+    assert len(got) >= 3 and sorted(n for d, x in got for n in x if d == "a") == list(range(7)) and ("b", [2]) in got
 
 
 def test_streaming_windows(spark, tmp_path):

@@ -56,6 +56,42 @@ def test_qualified_columns_and_text(spark, user):
     assert (row.o_orderkey, row.t) == (1, "default.sales.orders")
 
 
+def test_only_relations_are_bound(spark, user, snap):
+    spark.range(7).createOrReplaceTempView("orders")
+    before = {t.name for t in spark.catalog.listTables()}
+    row = snap.bind(spark, 'select "catalog.tables" as a, \'it\\\'s catalog.tables\' as b, count(*) as n from catalog . `tables` -- catalog.tables').first()
+    assert tuple(row) == ("catalog.tables", "it's catalog.tables", 3)
+    sql = """select default.sales.orders.o_orderkey as k, x.c_custkey, 'é 😀' as t from default.sales.orders
+        join default.sales.customer as x on default.sales.orders.o_custkey = x.c_custkey where /* default.sales.orders */ o_orderkey = 1"""
+    assert user.bind(spark, sql).first().k == 1
+    assert user.bind(spark, "select default.sales.orders.* from default.sales.orders limit 1").columns[0] == "o_orderkey"
+    assert user.bind(spark, "select orders.o_orderkey from default.sales.orders tablesample (100 percent)").count() > 0
+    assert user.bind(spark, "table default.sales.customer").count() > 0
+    one = g.bind_views(spark, g.parse(spark, "select count(*) as n from orders"), {("orders",): spark.range(2)})
+    assert one.first().n == 2 and spark.table("orders").count() == 7
+    assert {t.name for t in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("orders")
+    with pytest.raises(g.QueryError):
+        user.bind(spark, "select * from identifier('default.sales.orders')")
+
+
+def test_known_names_without_snapshots(spark):
+    empty = g.Snapshot({}, frozenset({"catalog.tables", "catalog.columns"}))
+    with pytest.raises(g.NotFound):
+        empty.bind(spark, "select * from catalog.tables")
+    some = g.Snapshot({"catalog.tables": spark.range(1)}, frozenset({"catalog.tables", "catalog.columns"}))
+    with pytest.raises(g.QueryError) as e:
+        some.bind(spark, "select * from catalog.columns join catalog.tables")
+    assert e.value.status == 400
+
+
+def test_byte_cap_stops_the_task(spark, user):
+    from types import SimpleNamespace
+
+    seen = list(g._up_to(100)(iter([SimpleNamespace(nbytes=60, k=k) for k in range(5)])))
+    assert [b.k for b in seen] == [0, 1]
+
+
 def test_snapshot_names(spark, snap):
     assert snap.bind(spark, "select count(*) as n from Catalog.Tables").first().n == 3
     assert snap.bind(spark, "select count(*) as n from system.lineage.edges").first().n == 2
