@@ -127,13 +127,6 @@ same_sql("sql_distinct", "SELECT DISTINCT event_type, user_id FROM events")
 same_sql(
     "sql_recursive",
     """WITH RECURSIVE up(node, pos, depth) AS (
-  SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), 0 FROM part WHERE p_partkey < 40
-  UNION ALL SELECT node, CAST(floor(pos / 2) AS BIGINT), depth + 1 FROM up WHERE pos > 0)
-SELECT node, max(depth) AS depth FROM up GROUP BY node""",
-)
-same_sql(
-    "sql_recursive_all",
-    """WITH RECURSIVE up(node, pos, depth) AS (
   SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), 0 FROM part
   UNION ALL SELECT node, CAST(floor(pos / 2) AS BIGINT), depth + 1 FROM up WHERE pos > 0)
 SELECT node, max(depth) AS depth FROM up GROUP BY node""",

@@ -351,25 +351,12 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(_part_edges(spark, sf_dir), roots)
 
 
-@query(
-    """SELECT n_nationkey AS table_id, 'upstream' AS direction, n_regionkey AS neighbour FROM nation WHERE n_nationkey < 5
-UNION ALL SELECT n.n_nationkey, 'downstream', 100 + s_suppkey FROM nation n JOIN supplier ON s_nationkey = n.n_nationkey WHERE n.n_nationkey < 5"""
-)
-def lineage_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("source_id"), (1000 + F.col("n_nationkey")).cast("long").alias("target_id"))
-    s = read(spark, sf_dir, "supplier").select((1000 + F.col("s_nationkey")).cast("long").alias("source_id"), (100 + F.col("s_suppkey")).alias("target_id"))
-    edges = n.union(s).withColumn("edge_type", F.lit("derives"))
-    ids = spark.range(1000, 1005).toDF("table_id")
-    out = joins.lineage_neighbours(edges, ids)
-    return out.select((F.col("table_id") - 1000).cast("int").alias("table_id"), "direction", "neighbour")
-
-
 @query(
     """SELECT n_nationkey AS table_id, 'upstream' AS direction, n_regionkey AS neighbour FROM nation
 UNION ALL SELECT n.n_nationkey, 'downstream', 10000 + s_suppkey FROM nation n JOIN supplier ON s_nationkey = n.n_nationkey"""
 )
-def lineage_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineage_neighbors`` of all nations; suppliers' ids are apart from nations' at any size."""
+def lineage_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all nations; suppliers' ids are apart from nations' at any size."""
     nation, tag = read(spark, sf_dir, "nation"), (1000 + F.col("n_nationkey")).cast("long")
     n = nation.select(F.col("n_regionkey").cast("long").alias("source_id"), tag.alias("target_id"))
     s = read(spark, sf_dir, "supplier").select((1000 + F.col("s_nationkey")).cast("long").alias("source_id"), (10000 + F.col("s_suppkey")).alias("target_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakelens.queries import ORACLES, QUERIES
 
 FLAGSHIP = "sql_three_way_join"
-_MODULES = ("sql", "state", "rules", "stream", "more")
+_MODULES = ("sql", "state", "rules", "stream", "more", "surface")
 
 
 def _load() -> None:

@@ -42,16 +42,16 @@ def test_queries_over_whole_tables(spark):
 
     table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     customers = {r[0] for r in table("customer").select("c_custkey").collect()}
-    assert customers <= values("membership_closure_all", "node")
-    assert {f"u{c}" for c in customers if c % 9} <= values("perm_compile_all", "principal_id")
-    assert values("lineage_neighbors_all", "table_id") == {r[0] for r in table("nation").select("n_nationkey").collect()}
-    assert values("sql_recursive_all", "node") == {r[0] for r in table("part").select("p_partkey").collect()}
+    assert customers <= values("membership_closure", "node")
+    assert {f"u{c}" for c in customers if c % 9} <= values("perm_compile", "principal_id")
+    assert values("lineage_neighbors", "table_id") == {r[0] for r in table("nation").select("n_nationkey").collect()}
+    assert values("sql_recursive", "node") == {r[0] for r in table("part").select("p_partkey").collect()}
     days = {str(r[0])[:10] for r in table("orders").select("o_orderdate").distinct().collect()}
     shipped = {str(r[0])[:10] for r in table("lineitem").select("l_shipdate").distinct().collect()}
     assert {(d, max((u for u in days if u <= d), default=None)) for d in shipped if d >= min(days)} == {
-        (r.downstream_key, r.upstream_key) for r in registry.queries()["dep_mapping_latest_all"](spark, SF).collect()
+        (r.downstream_key, r.upstream_key) for r in registry.queries()["dep_mapping_latest"](spark, SF).collect()
     }
     day = datetime.date.fromisoformat
     assert {(d, u) for d in shipped for u in days if 0 <= (day(d) - day(u)).days <= 6} == {
-        (r.downstream_key, r.upstream_key) for r in registry.queries()["dep_mapping_window_all"](spark, SF).collect()
+        (r.downstream_key, r.upstream_key) for r in registry.queries()["dep_mapping_window"](spark, SF).collect()
     }
