@@ -15,7 +15,10 @@ asks for the counts of its distinct words and bigrams: sorted 64-bit (words) and
 tasks together with the chunk's own counts; those sum them over all chunks and
 answer each chunk in its own order.  What is shuffled grows with the number of
 distinct bigrams of the chunks, and no task holds more than a hash range or a
-chunk, whatever the skew of words.  Weights are learned from a histogram of the
+chunk, whatever the skew of words.  More than ``fan`` chunks are counted in a tree:
+``fan`` chunks are merged into one in each of ``fan`` hash ranges, which are cut again as
+finely, until at most ``fan`` merged chunks are left; answers go down the same way.  So
+each level has ``fan`` rows a chunk, never a row for every pair of chunk and range.  Weights are learned from a histogram of the
 held-out tokens over a fixed grid of estimate pairs (an eighth of a nat wide,
 each cell with its mean), which is all that reaches the driver.
 
@@ -51,12 +54,14 @@ U64 = tv.U64
 class Params:
     """folds: documents fall into by their id's crc32; held_out: the fold that is never
     learned from; deleted: the training fold that weights are learned on; chunk: text
-    bytes of a chunk; rounds: of the expectation-maximisation."""
+    bytes of a chunk; fan: chunks merged at once, and parts of a hash range; rounds: of
+    the expectation-maximisation."""
 
     folds: int = 5
     held_out: int = 1
     deleted: int = 2
     chunk: int = 6 << 20
+    fan: int = 256
     rounds: int = 60
 
 
@@ -193,65 +198,133 @@ def _requests(chunks: _Chunks, p: Params, ranges: int):
                     n = [int(x) for x in np.diff(cut) if x]
                     if n:
                         yield pa.record_batch(
-                            [pa.array(out[0], pa.int32()), pa.array([chunk] * len(n), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
-                            names=["range", "chunk", "n", "steps", "kept", "away"],
+                            [pa.array(out[0], pa.int64()), pa.array([chunk] * len(n), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])],
+                            names=["slice", "unit", "n", "steps", "kept", "away"],
                         )
 
     return run
 
 
-def _answers(ranges: int):
-    """Rows come by range.  Sums counts over all chunks and answers each; a row with a
-    null chunk carries the range's totals."""
-
-    def settle(rng: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([np.cumsum(_expand(s, n, np.uint64), dtype=U64) for _, n, s, _, _ in rows])
-        order = np.argsort(keys, kind="stable")
-        ks = keys[order]
-        new = np.concatenate(([True], ks[1:] != ks[:-1]))
-        first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        place = np.empty_like(order)
-        place[order] = group
-        sums = []
-        for col, kind in ((3, np.uint32), (4, np.uint32)):
-            own = np.concatenate([_expand(r[col], r[1], kind) for r in rows]).astype(np.int64)
-            sums.append(np.add.reduceat(own[order], first))
-        kept, full = sums[0], sums[0] + sums[1]
-        chunk, n, a, b = [], [], [], []
-        at = 0
-        for c, size, *_ in rows:
-            mine = place[at : at + size]
-            chunk.append(c)
-            n.append(size)
-            a.append(_squeeze(kept[mine].astype("<u8")))
-            b.append(_squeeze(full[mine].astype("<u8")))
-            at += size
-        stats = np.array([kept.sum(), full.sum(), (full > 0).sum()], dtype="<i8") if rng < ranges else np.zeros(3, "<i8")
-        chunk.append(None)
-        n.append(0)
-        a.append(stats.tobytes())
-        b.append(b"")
-        yield pa.record_batch(
-            [pa.array([rng] * len(n), pa.int32()), pa.array(chunk, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-            names=["range", "chunk", "n", "kept", "full"],
-        )
+_REQUEST = "slice long, unit long, n long, steps binary, kept binary, away binary"
+_ANSWER = "slice long, unit long, n long, kept binary, full binary, sum_kept long, sum_full long, words long"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: int, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows as tuples, gathered while the first ``by`` columns stay the same."""
+    held, now = [], None
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in columns)):
+            if row[:by] != now and held:
+                yield now, held
+                held = []
+            now = row[:by]
+            held.append(row[by:])
+    if held:
+        yield now, held
+
+
+def _joined(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, order of all keys, where each distinct one begins in it, place of each
+    key among the distinct ones) of rows of (n, steps)."""
+    keys = np.concatenate([np.cumsum(_expand(steps, n, np.uint64), dtype=U64) for n, steps in rows])
+    order = np.argsort(keys, kind="stable")
+    ks = keys[order]
+    new = np.concatenate(([True], ks[1:] != ks[:-1]))
+    place = np.empty_like(order)
+    place[order] = np.cumsum(new) - 1
+    return ks[new], order, np.flatnonzero(new), place
+
+
+def _summed(bodies: list[tuple[int, bytes]], order: np.ndarray, first: np.ndarray, kind) -> np.ndarray:
+    own = np.concatenate([_expand(x, n, kind) for n, x in bodies]).astype(np.int64)
+    return np.add.reduceat(own[order], first)
+
+
+def _answers(slices: int, kind):
+    """Rows come by slice.  Sums counts over all units and answers each; a row with a null
+    unit carries the slice's totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (rng,), rows in _grouped(batches, 1, ("slice", "unit", "n", "steps", "kept", "away")):
+            _, order, first, place = _joined([(n, s) for _, n, s, _, _ in rows])
+            kept = _summed([(r[1], r[3]) for r in rows], order, first, kind)
+            full = kept + _summed([(r[1], r[4]) for r in rows], order, first, kind)
+            at, out = 0, []
+            for unit, n, *_ in rows:
+                mine = place[at : at + n]
+                out.append((rng, unit, n, _squeeze(kept[mine].astype("<u8")), _squeeze(full[mine].astype("<u8")), None, None, None))
+                at += n
+            if rng < slices:
+                out.append((rng, None, 0, b"", b"", int(kept.sum()), int(full.sum()), int((full > 0).sum())))
+            yield _answer_rows(out)
+
+    return run
+
+
+def _answer_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    names = ["slice", "unit", "n", "kept", "full", "sum_kept", "sum_full", "words"]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
+def _merged(slices: int, fan: int, kind):
+    """Rows come by slice and group.  A group's units become one, cut into ``fan`` slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for b in batches:
-            for rng, *row in zip(*(b.column(c).to_pylist() for c in ("range", "chunk", "n", "steps", "kept", "away"))):
-                if rng != now and held:
-                    yield from settle(now, held)
-                    held = []
-                now = rng
-                held.append(tuple(row))
-        if held:
-            yield from settle(now, held)
+        for (rng, group), rows in _grouped(batches, 2, ("slice", "grp", "n", "steps", "kept", "away")):
+            keys, order, first, _ = _joined([(n, s) for n, s, _, _ in rows])
+            sums = [_summed([(r[0], r[k]) for r in rows], order, first, kind).astype(np.uint64) for k in (2, 3)]
+            bits, own = (64, rng) if rng < slices else (48, rng - slices)
+            edges = [((own * fan + k) << bits) // (slices * fan) for k in range(1, fan)]
+            cut = np.concatenate(([0], np.searchsorted(keys, np.array(edges, dtype=U64)), [len(keys)])).tolist()
+            out = [
+                (rng * fan + k, group, z - a, _squeeze(np.diff(keys[a:z], prepend=U64(0))), _squeeze(sums[0][a:z]), _squeeze(sums[1][a:z]))
+                for k, (a, z) in enumerate(zip(cut, cut[1:]))
+                if z > a
+            ]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["slice", "unit", "n", "steps", "kept", "away"])
 
     return run
 
 
+def _passed_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by slice and group: first the merged unit's answers in order of their
+    slices, then the requests of the units it was made of, which are answered."""
+    for (rng, _), rows in _grouped(batches, 2, ("slice", "grp", "late", "place", "n", "steps", "kept", "full")):
+        told, asked = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        kept, full = (np.concatenate([_expand(r[k], r[2], "<u8") for r in told]) for k in (4, 5))
+        _, _, _, place = _joined([(r[2], r[3]) for r in asked])
+        at, out = 0, []
+        for _, unit, n, *_ in asked:
+            mine = place[at : at + n]
+            out.append((rng, unit, n, _squeeze(kept[mine]), _squeeze(full[mine]), None, None, None))
+            at += n
+        yield _answer_rows(out)
+
+
+def _count(requests: DataFrame, units: int, slices: int, tasks: int, p: Params, scratch: Scratch, level: int = 0) -> DataFrame:
+    """Answers to ``requests`` of ``units`` units in ``slices`` slices each of words and bigrams."""
+    kind = np.uint64 if level else np.uint32  # a chunk's own counts are small
+    if units <= p.fan:
+        dealt = requests.repartition(min(2 * slices, tasks), "slice").sortWithinPartitions("slice", "unit")
+        return scratch.keep(dealt.mapInArrow(_answers(slices, kind), _ANSWER), f"answers-{level}")
+    groups = -(-units // p.fan)
+    requests = scratch.keep(requests, f"requests-{level}").withColumn("grp", F.pmod(F.xxhash64("unit"), F.lit(groups)))
+    dealt = requests.repartition(tasks, "slice", "grp").sortWithinPartitions("slice", "grp", "unit")
+    deeper = _count(dealt.mapInArrow(_merged(slices, p.fan, kind), _REQUEST), groups, slices * p.fan, tasks, p, scratch, level + 1)
+    none = F.lit(None).cast("binary")
+    asked = requests.select("slice", "grp", F.lit(True).alias("late"), F.col("unit").alias("place"), "n", "steps", none.alias("kept"), none.alias("full"))
+    told = deeper.where("unit is not null").select(
+        F.expr(f"slice div {p.fan}").alias("slice"), F.col("unit").alias("grp"), F.lit(False), F.col("slice").alias("place"), "n", none, "kept", "full"
+    )
+    both = asked.union(told).repartition(tasks, "slice", "grp").sortWithinPartitions("slice", "grp", "late", "place")
+    answers = both.mapInArrow(_passed_down, _ANSWER).union(deeper.where("unit is null"))
+    answers = scratch.keep(answers, f"answers-{level}")
+    scratch.drop(f"requests-{level}", f"answers-{level + 1}")
+    return answers
+
+
 def _by_chunk(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[str, list[np.ndarray]]]:
     """(file, counts of words, counts of pairs) of each chunk; rows come by chunk and range."""
     now, name, parts = None, None, ([], [])
@@ -370,24 +443,17 @@ def score(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> Da
     )
     stored = scratch.keep(docs.mapInArrow(chunks.write(p), "chunk long, name string"), "stored")
     n = stored.count()
-    ranges = max(1, shuffle_tasks(spark) // 2, n // 3)
-    asked = stored.repartition(max(1, min(n, 4 * shuffle_tasks(spark)))).mapInArrow(
-        _requests(chunks, p, ranges), "range int, chunk long, n long, steps binary, kept binary, away binary"
-    )
-    answers = (
-        asked.repartition(2 * ranges, "range")
-        .sortWithinPartitions("range", "chunk")
-        .mapInArrow(_answers(ranges), "range int, chunk long, n long, kept binary, full binary")
-    )
-    answers = scratch.keep(answers, "answers")
-    # a row a range
-    stats = [np.frombuffer(r.kept, "<i8") for r in answers.where("chunk is null").select("kept").collect()]
-    totals = Totals(*(int(x) for x in np.sum(stats, axis=0))) if stats else Totals(0, 0, 0)
+    tasks = max(1, min(n, 4 * shuffle_tasks(spark)))
+    slices = max(1, shuffle_tasks(spark) // 2, n // 3) if n <= p.fan else p.fan
+    asked = stored.repartition(tasks).mapInArrow(_requests(chunks, p, slices), _REQUEST)
+    answers = _count(asked, n, slices, max(2 * shuffle_tasks(spark), n), p, scratch)
+    sums = answers.where("unit is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("sum_kept", "sum_full", "words"))).first()
+    totals = Totals(*sums)
 
     def replies(column: str) -> DataFrame:
-        rows = answers.where("chunk is not null").join(stored, "chunk")
-        rows = rows.select("chunk", "range", "name", (F.col("range") >= ranges).cast("int").alias("pairs"), "n", column)
-        return rows.repartition(max(1, min(n, 4 * shuffle_tasks(spark))), "chunk").sortWithinPartitions("chunk", "range")
+        rows = answers.where("unit is not null").withColumnRenamed("unit", "chunk").join(stored, "chunk")
+        rows = rows.select("chunk", "slice", "name", (F.col("slice") >= slices).cast("int").alias("pairs"), "n", column)
+        return rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "slice")
 
     cells = (
         replies("kept")

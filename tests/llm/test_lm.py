@@ -78,6 +78,19 @@ def test_model_against_brute_force(spark, make_docs):
         assert got[i].score == pytest.approx(total, rel=0.02)  # the grid's cells are means
 
 
+def test_tree_of_chunks(spark, make_docs):
+    rows = [(i, " ".join(f"w{(i * k) % 31}" for k in range(i % 40 + 2)), "s") for i in range(80)]
+    docs = make_docs(rows).repartition(4)
+    flat = {r.doc_id: r for r in lm.score(spark, docs).collect()}
+    for p in (lm.Params(chunk=400, fan=3), lm.Params(chunk=150, fan=5)):
+        tree = lm.score(spark, docs, p).collect()
+        assert len(tree) == len(rows)
+        for r in tree:
+            f = flat[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (f.n_tokens, f.n_known, f.train_tokens)
+            assert math.isclose(r.base_score, f.base_score, rel_tol=1e-9) and math.isclose(r.score, f.score, rel_tol=1e-6)
+
+
 def test_odd_rows(spark, make_docs):
     check_base(ODD, lm.score(spark, make_docs(ODD, extra=True)).collect())
     assert lm.score(spark, make_docs([])).count() == 0
