@@ -5,7 +5,7 @@ from lakelens.llm import minhash
 from tests.llm.conftest import ODD
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {}
     for i, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -23,7 +23,7 @@ def brute(rows):
     for a in range(len(flat)):
         for b in range(a):
             (i, s), (j, t) = flat[a], flat[b]
-            if 100 * len(s & t) >= 85 * len(s | t):
+            if 100 * len(s & t) >= percent * len(s | t):
                 lo, hi = sorted((find(i), find(j)))
                 comp[hi] = lo
     return {i: (find(i), {len(s) for s in sets[i]}) for i in ids}
