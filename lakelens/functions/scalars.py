@@ -289,13 +289,13 @@ def table_format(x: Column | str, default: str = "parquet") -> Column:
 
 
 #: Query parameters whose values never leave the engine.
-SENSITIVE_PARAMETERS = "sig signature token x-id-token se sp sr sv skoid sktid skt ske sks skv"
-SENSITIVE_PREFIXES = "x-amz- x-goog- x-ms-"
+SENSITIVE_PARAMETERS = ("sig", "signature", "token", "x-id-token", "se", "sp", "sr", "sv", "skoid", "sktid", "skt", "ske", "sks", "skv")
+SENSITIVE_PREFIXES = ("x-amz-", "x-goog-", "x-ms-")
 
 
 def redact_url(x: Column | str) -> Column:
     """Values of sensitive query parameters replaced."""
-    names = "|".join([*SENSITIVE_PARAMETERS.split(), *(f"{p}[^=&#]*" for p in SENSITIVE_PREFIXES.split())])
+    names = "|".join([*SENSITIVE_PARAMETERS, *(f"{p}[^=&#]*" for p in SENSITIVE_PREFIXES)])
     return F.regexp_replace(_c(x), rf"(?i)([?&](?:{names})=)[^&#]*", "$1REDACTED")
 
 

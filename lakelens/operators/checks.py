@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakelens.plans.sqlgate import bind_views, parse
+
 RESULT = "name string, kind string, severity string, phase string, observed double, passed boolean"
 
 
@@ -94,9 +96,10 @@ def run_checks(df: DataFrame, checks: Sequence[Check], previous_rows: int | None
             twice = df.groupBy(*c.columns).count().where("count > 1").agg(F.count("*").cast("double").alias("n"))
             parts.append((c, kind, twice, F.col("n"), F.col("n") == 0))
         elif isinstance(c, CustomSql):
-            view = f"checked_{abs(hash((c.name, c.sql))):x}"
-            df.createOrReplaceTempView(view)
-            own = df.sparkSession.sql(c.sql.format(table=view))
+            parsed = parse(df.sparkSession, c.sql.replace("{table}", "checked"))
+            if set(parsed.relations) != {("checked",)}:
+                raise ValueError(f"check {c.name} may read {{table}} only")
+            own = bind_views(df.sparkSession, parsed, {("checked",): df})
             own = own.select(F.col(own.columns[0]).cast("double").alias("n"))
             parts.append((c, kind, own, F.col("n"), F.coalesce(F.col("n") == 0, F.lit(False))))
         else:

@@ -2,7 +2,9 @@
 
 Each round joins only the frontier, so work follows the edges reached.  Rounds
 are cut with ``checkpoint`` into the shared folder, which survives lost executors
-and keeps plans short; cycles end because visited nodes never re-enter.
+and keeps plans short; cycles end because visited nodes never re-enter.  What was
+visited is the union of the rounds' frontiers: a round writes its own only, and every
+``_MERGE`` rounds they become one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_MERGE = 16
+
+
+def _with(visited: DataFrame, frontier: DataFrame, step: int) -> DataFrame:
+    both = visited.union(frontier)
+    return both if step % _MERGE else cut(both)
+
+
 def reverse(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.select(F.col(dst).alias(src), F.col(src).alias(dst))
 
@@ -39,7 +49,7 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
         frontier = cut(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return visited
-        visited = cut(visited.union(frontier))
+        visited = _with(visited, frontier, depth)
     raise RuntimeError("closure did not settle")
 
 
@@ -77,22 +87,27 @@ def pairs_closure(edges: DataFrame, reflexive: bool = True, most: int = 64) -> D
 def stage_levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, stage): 0 without upstreams, else one more than the highest upstream's.  Nodes
     are settled stage by stage, each once all its upstreams are; cycles raise."""
-    e = edges.select("src", "dst").distinct()
-    left = cut(nodes.select("node").distinct())
-    done = None
-    for stage in range(most):
-        # what has an unsettled upstream waits
-        waiting = e.join(left, e["src"] == left["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        ready = cut(left.join(waiting, "node", "left_anti").withColumn("stage", F.lit(stage)))
+    e = cut(edges.select("src", "dst").distinct())
+    every = nodes.select("node").distinct()
+    inside = e.join(every, e["src"] == every["node"], "left_semi")
+    # upstreams each node still waits for; a round touches only what its nodes lead to
+    waits = every.join(inside.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open")), "node", "left")
+    waits = cut(waits.select("node", F.coalesce("open", F.lit(0)).alias("open")))
+    ready = cut(waits.where("open = 0").select("node", F.lit(0).alias("stage")))
+    done, met, left = ready, None, waits.count()
+    for stage in range(1, most):
+        left -= ready.count()
+        if not left:
+            return done
         if ready.isEmpty():
-            if left.isEmpty():
-                break
             raise ValueError("the graph has a cycle")
-        done = ready if done is None else done.union(ready)
-        left = cut(left.join(ready.select("node"), "node", "left_anti"))
-        if left.isEmpty():
-            break
-    return done if done is not None else left.withColumn("stage", F.lit(0))
+        hit = e.join(ready, e["src"] == ready["node"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+        met = hit if met is None else met.union(hit).groupBy("node").agg(F.sum("n").alias("n"))
+        met = cut(met.join(waits, "node"))
+        ready = cut(met.where("n = open").select("node", F.lit(stage).alias("stage")))
+        met = met.where("n < open").select("node", "n")
+        done = _with(done, ready, stage)
+    raise RuntimeError("stages did not settle")
 
 
 def propagate_failures(tasks: DataFrame, edges: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,15 +120,16 @@ def propagate_failures(tasks: DataFrame, edges: DataFrame, failed: DataFrame) ->
     open_ = tasks.where(~F.col("state").isin(*terminal)).select("node")
     frontier = cut(failed.select("node", "resolution"))
     marked, changed = None, None
-    visited = frontier.select("node")
+    visited, step = frontier.select("node"), 0
     while not frontier.isEmpty():
+        step += 1
         hit = cut(frontier.join(edges, frontier["node"] == edges["src"]).select("src", "dst", "resolution"))
         marked = hit if marked is None else marked.union(hit)
         state = F.when(F.col("w.resolution") == "CANCELLED", "CANCELLED").otherwise("SKIPPED")
         first = hit.groupBy(F.col("dst").alias("node")).agg(F.min_by(F.struct("resolution"), "src").alias("w"))
         new = first.join(open_, "node", "left_semi").join(visited, "node", "left_anti").select("node", state.alias("resolution"))
         frontier = cut(new)
-        visited = cut(visited.union(frontier.select("node")))
+        visited = _with(visited, frontier.select("node"), step)
         changed = frontier if changed is None else changed.union(frontier)
     if changed is None:
         return tasks, edges.withColumn("resolution", F.lit(None).cast("string"))

@@ -1,7 +1,7 @@
 """Schemas of the metadata and state tables.
 
-Ids are strings and times epoch milliseconds.  A trailing ``!`` marks a column
-that is never null.  The column lists are fixed values: files at rest have them.
+Ids are strings and times epoch milliseconds.  The column lists are fixed values:
+files at rest have them.
 """
 
 from __future__ import annotations
@@ -10,38 +10,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "b": T.BooleanType(), "f": T.FloatType()}
+STRING, LONG, INT, BOOLEAN, FLOAT = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.FloatType()
 
-#: Name:type of each column, ``!`` where it is never null.
+#: Name and type of each column, and whether it may be null.
 _COLUMNS = {
-    "catalog.catalogs": "id:s! name:s! description:s created_at:l! updated_at:l! properties_json:s storage_root:s",
-    "catalog.namespaces": "id:s! catalog_id:s name:s! description:s created_at:l! updated_at:l! properties_json:s storage_root:s",
-    "catalog.tables": "id:s! namespace_id:s! name:s! description:s location:s format:s created_at:l! updated_at:l! table_type:s properties_json:s",
-    "catalog.columns": "id:s! table_id:s! name:s! data_type:s! is_nullable:b! ordinal:i! description:s",
-    "catalog.commits": "commit_ulid:s! snapshot_version:l! published_at:l! fencing_token:l! watermark_event_id:s operation:s object_type:s object_id:s object_name:s manifest_id:s event_witnesses_json:s",
-    "catalog.snapshots": "snapshot_id:s! record_version:l! created_at:l! retained_until:l! retention_status:s! domain_count:l! parent_snapshot_id:s has_legacy_compatibility:b!",
-    "catalog.transactions": "handle_id:s! record_version:l! lifecycle:s! created_at:l! updated_at:l! expires_at:l! prepared_at:l committing_at:l visible_at:l terminal_at:l mutation_count:l! visible_mutation_count:l!",
-    "lineage.edges": "id:s! source_id:s! target_id:s! edge_type:s! run_id:s created_at:l!",
-    "search.postings": "token:s! token_norm:s! doc_type:s! doc_id:s! field:s! score:f!",
-    "orchestration.runs": "run_id:s! plan_id:s! state:s! run_key:s cancel_requested:b! tasks_total:l! tasks_completed:l! tasks_succeeded:l! tasks_failed:l! tasks_skipped:l! tasks_cancelled:l! triggered_at:l! completed_at:l labels:s code_version:s row_version:s!",
-    "orchestration.tasks": "run_id:s! task_key:s! state:s! attempt:l! attempt_id:s started_at:l completed_at:l error_message:s deps_total:l! deps_satisfied_count:l! max_attempts:l! heartbeat_timeout_sec:l! last_heartbeat_at:l ready_at:l asset_key:s partition_key:s requires_visible_output:b materialization_id:s output_visibility_state:s published_at:l publish_error:s retry_not_before:l delta_table:s delta_version:l delta_partition:s execution_lineage_ref:s row_version:s!",
-    "orchestration.catalog_run_index": "schema_version:l! org_id:s! workspace_id:s! run_id:s! task_key:s! plan_id:s! run_key:s kind:s reference_id:s source_type:s run_status:s! cancel_requested:b! task_status:s! asset_key:s target_namespace:s target_table:s partition_key:s attempt:l! attempt_id:s requires_visible_output:b! materialization_id:s output_visibility_state:s published_at:l publish_error:s delta_table:s delta_version:l delta_partition:s execution_lineage_ref:s started_at:l last_heartbeat_at:l triggered_at:l! completed_at:l updated_at:l! code_version:s error_message:s row_version:s!",
-    "orchestration.dep_satisfaction": "run_id:s! upstream_task_key:s! downstream_task_key:s! satisfied:b! resolution:s satisfied_at:l satisfying_attempt:l row_version:s!",
-    "orchestration.timers": "timer_id:s! cloud_task_id:s timer_type:s! run_id:s task_key:s attempt:l fire_at:l! state:s! payload:s row_version:s!",
-    "orchestration.dispatch_outbox": "run_id:s! task_key:s! attempt:l! dispatch_id:s! cloud_task_id:s status:s! attempt_id:s! worker_queue:s! created_at:l! row_version:s!",
-    "orchestration.sensor_state": "tenant_id:s! workspace_id:s! sensor_id:s! cursor:s last_evaluation_at:l last_eval_id:s status:s! state_version:l! row_version:s!",
-    "orchestration.sensor_evals": "tenant_id:s! workspace_id:s! eval_id:s! sensor_id:s! cursor_before:s cursor_after:s expected_state_version:l trigger_source:s! run_requests:s status:s! evaluated_at:l! row_version:s!",
-    "orchestration.run_key_index": "tenant_id:s! workspace_id:s! run_key:s! run_id:s! request_fingerprint:s! code_version:s created_at:l! row_version:s!",
-    "orchestration.run_key_conflicts": "tenant_id:s! workspace_id:s! run_key:s! existing_fingerprint:s! conflicting_fingerprint:s! conflicting_event_id:s! detected_at:l!",
-    "orchestration.partition_status": "tenant_id:s! workspace_id:s! asset_key:s! partition_key:s! last_materialization_run_id:s last_materialization_at:l last_materialization_code_version:s last_attempt_run_id:s last_attempt_at:l last_attempt_outcome:s stale_since:l stale_reason_code:s partition_values:s delta_table:s delta_version:l delta_partition:s execution_lineage_ref:s row_version:s!",
-    "orchestration.idempotency_keys": "tenant_id:s! workspace_id:s! idempotency_key:s! event_id:s! event_type:s! recorded_at:l! row_version:s!",
-    "orchestration.schedule_definitions": "tenant_id:s! workspace_id:s! schedule_id:s! cron_expression:s! timezone:s! catchup_window_minutes:l! asset_selection:s code_version:s max_catchup_ticks:l! enabled:b! created_at:l! row_version:s!",
-    "orchestration.schedule_state": "tenant_id:s! workspace_id:s! schedule_id:s! last_scheduled_for:l last_tick_id:s last_run_key:s row_version:s!",
-    "orchestration.schedule_ticks": "tenant_id:s! workspace_id:s! tick_id:s! schedule_id:s! scheduled_for:l! definition_version:s! asset_selection:s partition_selection:s status:s! run_key:s run_id:s request_fingerprint:s row_version:s!",
-    "orchestration.backfills": "tenant_id:s! workspace_id:s! backfill_id:s! asset_selection:s! code_version:s partition_selector:s! chunk_size:l! max_concurrent_runs:l! state:s! state_version:l! total_partitions:l! planned_chunks:l! completed_chunks:l! failed_chunks:l! parent_backfill_id:s created_at:l! row_version:s!",
-    "orchestration.backfill_chunks": "tenant_id:s! workspace_id:s! chunk_id:s! backfill_id:s! chunk_index:l! partition_keys:s! run_key:s! run_id:s state:s! row_version:s!",
-    "metastore.objects": "schema_version:i! ledger_watermark:s! object_id:s! object_type:s! name:s owner:s lifecycle_state:s! updated_at:l! url:s credential_id:s workspace_id:s bound_object_id:s bound_object_type:s properties_json:s",
-}
+    "catalog.catalogs": (
+        ("id", STRING, False), ("name", STRING, False), ("description", STRING, True), ("created_at", LONG, False), ("updated_at", LONG, False),
+        ("properties_json", STRING, True), ("storage_root", STRING, True),
+    ),
+    "catalog.namespaces": (
+        ("id", STRING, False), ("catalog_id", STRING, True), ("name", STRING, False), ("description", STRING, True), ("created_at", LONG, False),
+        ("updated_at", LONG, False), ("properties_json", STRING, True), ("storage_root", STRING, True),
+    ),
+    "catalog.tables": (
+        ("id", STRING, False), ("namespace_id", STRING, False), ("name", STRING, False), ("description", STRING, True), ("location", STRING, True),
+        ("format", STRING, True), ("created_at", LONG, False), ("updated_at", LONG, False), ("table_type", STRING, True),
+        ("properties_json", STRING, True),
+    ),
+    "catalog.columns": (
+        ("id", STRING, False), ("table_id", STRING, False), ("name", STRING, False), ("data_type", STRING, False), ("is_nullable", BOOLEAN, False),
+        ("ordinal", INT, False), ("description", STRING, True),
+    ),
+    "catalog.commits": (
+        ("commit_ulid", STRING, False), ("snapshot_version", LONG, False), ("published_at", LONG, False), ("fencing_token", LONG, False),
+        ("watermark_event_id", STRING, True), ("operation", STRING, True), ("object_type", STRING, True), ("object_id", STRING, True),
+        ("object_name", STRING, True), ("manifest_id", STRING, True), ("event_witnesses_json", STRING, True),
+    ),
+    "catalog.snapshots": (
+        ("snapshot_id", STRING, False), ("record_version", LONG, False), ("created_at", LONG, False), ("retained_until", LONG, False),
+        ("retention_status", STRING, False), ("domain_count", LONG, False), ("parent_snapshot_id", STRING, True),
+        ("has_legacy_compatibility", BOOLEAN, False),
+    ),
+    "catalog.transactions": (
+        ("handle_id", STRING, False), ("record_version", LONG, False), ("lifecycle", STRING, False), ("created_at", LONG, False),
+        ("updated_at", LONG, False), ("expires_at", LONG, False), ("prepared_at", LONG, True), ("committing_at", LONG, True),
+        ("visible_at", LONG, True), ("terminal_at", LONG, True), ("mutation_count", LONG, False), ("visible_mutation_count", LONG, False),
+    ),
+    "lineage.edges": (
+        ("id", STRING, False), ("source_id", STRING, False), ("target_id", STRING, False), ("edge_type", STRING, False), ("run_id", STRING, True),
+        ("created_at", LONG, False),
+    ),
+    "search.postings": (
+        ("token", STRING, False), ("token_norm", STRING, False), ("doc_type", STRING, False), ("doc_id", STRING, False), ("field", STRING, False),
+        ("score", FLOAT, False),
+    ),
+    "orchestration.runs": (
+        ("run_id", STRING, False), ("plan_id", STRING, False), ("state", STRING, False), ("run_key", STRING, True),
+        ("cancel_requested", BOOLEAN, False), ("tasks_total", LONG, False), ("tasks_completed", LONG, False), ("tasks_succeeded", LONG, False),
+        ("tasks_failed", LONG, False), ("tasks_skipped", LONG, False), ("tasks_cancelled", LONG, False), ("triggered_at", LONG, False),
+        ("completed_at", LONG, True), ("labels", STRING, True), ("code_version", STRING, True), ("row_version", STRING, False),
+    ),
+    "orchestration.tasks": (
+        ("run_id", STRING, False), ("task_key", STRING, False), ("state", STRING, False), ("attempt", LONG, False), ("attempt_id", STRING, True),
+        ("started_at", LONG, True), ("completed_at", LONG, True), ("error_message", STRING, True), ("deps_total", LONG, False),
+        ("deps_satisfied_count", LONG, False), ("max_attempts", LONG, False), ("heartbeat_timeout_sec", LONG, False),
+        ("last_heartbeat_at", LONG, True), ("ready_at", LONG, True), ("asset_key", STRING, True), ("partition_key", STRING, True),
+        ("requires_visible_output", BOOLEAN, True), ("materialization_id", STRING, True), ("output_visibility_state", STRING, True),
+        ("published_at", LONG, True), ("publish_error", STRING, True), ("retry_not_before", LONG, True), ("delta_table", STRING, True),
+        ("delta_version", LONG, True), ("delta_partition", STRING, True), ("execution_lineage_ref", STRING, True), ("row_version", STRING, False),
+    ),
+    "orchestration.catalog_run_index": (
+        ("schema_version", LONG, False), ("org_id", STRING, False), ("workspace_id", STRING, False), ("run_id", STRING, False),
+        ("task_key", STRING, False), ("plan_id", STRING, False), ("run_key", STRING, True), ("kind", STRING, True), ("reference_id", STRING, True),
+        ("source_type", STRING, True), ("run_status", STRING, False), ("cancel_requested", BOOLEAN, False), ("task_status", STRING, False),
+        ("asset_key", STRING, True), ("target_namespace", STRING, True), ("target_table", STRING, True), ("partition_key", STRING, True),
+        ("attempt", LONG, False), ("attempt_id", STRING, True), ("requires_visible_output", BOOLEAN, False), ("materialization_id", STRING, True),
+        ("output_visibility_state", STRING, True), ("published_at", LONG, True), ("publish_error", STRING, True), ("delta_table", STRING, True),
+        ("delta_version", LONG, True), ("delta_partition", STRING, True), ("execution_lineage_ref", STRING, True), ("started_at", LONG, True),
+        ("last_heartbeat_at", LONG, True), ("triggered_at", LONG, False), ("completed_at", LONG, True), ("updated_at", LONG, False),
+        ("code_version", STRING, True), ("error_message", STRING, True), ("row_version", STRING, False),
+    ),
+    "orchestration.dep_satisfaction": (
+        ("run_id", STRING, False), ("upstream_task_key", STRING, False), ("downstream_task_key", STRING, False), ("satisfied", BOOLEAN, False),
+        ("resolution", STRING, True), ("satisfied_at", LONG, True), ("satisfying_attempt", LONG, True), ("row_version", STRING, False),
+    ),
+    "orchestration.timers": (
+        ("timer_id", STRING, False), ("cloud_task_id", STRING, True), ("timer_type", STRING, False), ("run_id", STRING, True),
+        ("task_key", STRING, True), ("attempt", LONG, True), ("fire_at", LONG, False), ("state", STRING, False), ("payload", STRING, True),
+        ("row_version", STRING, False),
+    ),
+    "orchestration.dispatch_outbox": (
+        ("run_id", STRING, False), ("task_key", STRING, False), ("attempt", LONG, False), ("dispatch_id", STRING, False),
+        ("cloud_task_id", STRING, True), ("status", STRING, False), ("attempt_id", STRING, False), ("worker_queue", STRING, False),
+        ("created_at", LONG, False), ("row_version", STRING, False),
+    ),
+    "orchestration.sensor_state": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("sensor_id", STRING, False), ("cursor", STRING, True),
+        ("last_evaluation_at", LONG, True), ("last_eval_id", STRING, True), ("status", STRING, False), ("state_version", LONG, False),
+        ("row_version", STRING, False),
+    ),
+    "orchestration.sensor_evals": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("eval_id", STRING, False), ("sensor_id", STRING, False),
+        ("cursor_before", STRING, True), ("cursor_after", STRING, True), ("expected_state_version", LONG, True), ("trigger_source", STRING, False),
+        ("run_requests", STRING, True), ("status", STRING, False), ("evaluated_at", LONG, False), ("row_version", STRING, False),
+    ),
+    "orchestration.run_key_index": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("run_key", STRING, False), ("run_id", STRING, False),
+        ("request_fingerprint", STRING, False), ("code_version", STRING, True), ("created_at", LONG, False), ("row_version", STRING, False),
+    ),
+    "orchestration.run_key_conflicts": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("run_key", STRING, False), ("existing_fingerprint", STRING, False),
+        ("conflicting_fingerprint", STRING, False), ("conflicting_event_id", STRING, False), ("detected_at", LONG, False),
+    ),
+    "orchestration.partition_status": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("asset_key", STRING, False), ("partition_key", STRING, False),
+        ("last_materialization_run_id", STRING, True), ("last_materialization_at", LONG, True), ("last_materialization_code_version", STRING, True),
+        ("last_attempt_run_id", STRING, True), ("last_attempt_at", LONG, True), ("last_attempt_outcome", STRING, True), ("stale_since", LONG, True),
+        ("stale_reason_code", STRING, True), ("partition_values", STRING, True), ("delta_table", STRING, True), ("delta_version", LONG, True),
+        ("delta_partition", STRING, True), ("execution_lineage_ref", STRING, True), ("row_version", STRING, False),
+    ),
+    "orchestration.idempotency_keys": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("idempotency_key", STRING, False), ("event_id", STRING, False),
+        ("event_type", STRING, False), ("recorded_at", LONG, False), ("row_version", STRING, False),
+    ),
+    "orchestration.schedule_definitions": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("schedule_id", STRING, False), ("cron_expression", STRING, False),
+        ("timezone", STRING, False), ("catchup_window_minutes", LONG, False), ("asset_selection", STRING, True), ("code_version", STRING, True),
+        ("max_catchup_ticks", LONG, False), ("enabled", BOOLEAN, False), ("created_at", LONG, False), ("row_version", STRING, False),
+    ),
+    "orchestration.schedule_state": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("schedule_id", STRING, False), ("last_scheduled_for", LONG, True),
+        ("last_tick_id", STRING, True), ("last_run_key", STRING, True), ("row_version", STRING, False),
+    ),
+    "orchestration.schedule_ticks": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("tick_id", STRING, False), ("schedule_id", STRING, False),
+        ("scheduled_for", LONG, False), ("definition_version", STRING, False), ("asset_selection", STRING, True),
+        ("partition_selection", STRING, True), ("status", STRING, False), ("run_key", STRING, True), ("run_id", STRING, True),
+        ("request_fingerprint", STRING, True), ("row_version", STRING, False),
+    ),
+    "orchestration.backfills": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("backfill_id", STRING, False), ("asset_selection", STRING, False),
+        ("code_version", STRING, True), ("partition_selector", STRING, False), ("chunk_size", LONG, False), ("max_concurrent_runs", LONG, False),
+        ("state", STRING, False), ("state_version", LONG, False), ("total_partitions", LONG, False), ("planned_chunks", LONG, False),
+        ("completed_chunks", LONG, False), ("failed_chunks", LONG, False), ("parent_backfill_id", STRING, True), ("created_at", LONG, False),
+        ("row_version", STRING, False),
+    ),
+    "orchestration.backfill_chunks": (
+        ("tenant_id", STRING, False), ("workspace_id", STRING, False), ("chunk_id", STRING, False), ("backfill_id", STRING, False),
+        ("chunk_index", LONG, False), ("partition_keys", STRING, False), ("run_key", STRING, False), ("run_id", STRING, True),
+        ("state", STRING, False), ("row_version", STRING, False),
+    ),
+    "metastore.objects": (
+        ("schema_version", INT, False), ("ledger_watermark", STRING, False), ("object_id", STRING, False), ("object_type", STRING, False),
+        ("name", STRING, True), ("owner", STRING, True), ("lifecycle_state", STRING, False), ("updated_at", LONG, False), ("url", STRING, True),
+        ("credential_id", STRING, True), ("workspace_id", STRING, True), ("bound_object_id", STRING, True), ("bound_object_type", STRING, True),
+        ("properties_json", STRING, True),
+    ),
+}
 
 INTERNAL = {"orchestration.run_key_index", "orchestration.idempotency_keys", "search.postings", "metastore.objects"}
 #: Columns of a public table that never leave the engine.
@@ -53,11 +168,7 @@ KEYS = {"orchestration.tasks": ("run_id", "task_key"), "orchestration.catalog_ru
 
 
 def schema(name: str) -> T.StructType:
-    fields = []
-    for col in _COLUMNS[name].split():
-        c, kind = col.rstrip("!").split(":")
-        fields.append(T.StructField(c, _TYPES[kind], not col.endswith("!")))
-    return T.StructType(fields)
+    return T.StructType([T.StructField(*column) for column in _COLUMNS[name]])
 
 
 def names() -> list[str]:
