@@ -105,6 +105,16 @@ def run_id_udf(tenant: str, workspace: str, secret: bytes):
     return f
 
 
+def full_jitter_udf(base_s: float = 5, cap_s: float = 300):
+    """Milliseconds to wait of (run, task, attempt)."""
+
+    @pandas_udf("long")
+    def f(run: pd.Series, task: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([full_jitter(r, t, int(a), base_s, cap_s) for r, t, a in zip(run, task, attempt)])
+
+    return f
+
+
 def canonical_json_udf():
     """Canonical form of a JSON column; null where it is malformed or holds a float."""
 

@@ -238,6 +238,44 @@ def edges_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", S.valid_edge(source, _text("p_partkey"), kind, F.lit(None).cast("string")).alias("valid"))
 
 
+def _base32(hexed: str) -> str:
+    """SQL for the first 26 base-32 characters of hexadecimal text."""
+    nibbles = ", ".join(f"'{k:04b}'" for k in range(16))
+    bits = f"array_to_string([[{nibbles}][strpos('0123456789abcdef', c)] FOR c IN string_split(substr({hexed}, 1, 34), '')], '')"
+    five = " + ".join(f"{16 >> k} * CAST(substr(b, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+    return f"(SELECT array_to_string([substr('abcdefghijklmnopqrstuvwxyz234567', 1 + {five}, 1) FOR i IN range(26)], '') FROM (SELECT {bits} AS b))"
+
+
+_SECRET = b"a secret"
+
+
+def _padded(x: int) -> str:
+    return "".join(f"\\x{c ^ x:02X}" for c in _SECRET.ljust(64, b"\0"))
+
+
+@query(f"SELECT c_custkey, 'task_' || {_base32('h')} AS task FROM (SELECT c_custkey, sha256(c_name) AS h FROM customer)")
+def task_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", encoded.task_name_udf("task")("c_name").alias("task"))
+
+
+@query(
+    f"""SELECT c_custkey, 'run_' || {_base32('h')} AS run_id FROM (SELECT c_custkey, sha256('{_padded(0x5C)}'::BLOB ||
+unhex(sha256('{_padded(0x36)}'::BLOB || encode('t:w:' || c_name)))) AS h FROM customer)"""
+)
+def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", encoded.run_id_udf("t", "w", _SECRET)("c_name").alias("run_id"))
+
+
+@query(
+    """SELECT c_custkey, CAST(v % (5000 * CAST(power(2, least(c_custkey % 4, 6)) AS BIGINT) + 1) AS BIGINT) AS wait_ms FROM (SELECT c_custkey, list_sum([CAST(256 ** i AS HUGEINT) *
+(16 * (strpos('0123456789abcdef', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 1) FOR i IN range(8)]) AS v
+FROM (SELECT c_custkey, sha256(encode(c_name || 'task') || unhex('0' || CAST(c_custkey % 4 + 1 AS VARCHAR) || '000000')) AS h FROM customer))"""
+)
+def retry_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wait = encoded.full_jitter_udf()("c_name", F.lit("task"), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select("c_custkey", wait.alias("wait_ms"))
+
+
 # -- watermarks, merges and folds -------------------------------------------------------
 
 
@@ -310,6 +348,46 @@ def metastore_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metastore.object_names(metastore.replay(records))
 
 
+@query(
+    """SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name, 'r' || CAST(n_regionkey AS VARCHAR) AS namespace_id
+FROM nation WHERE n_nationkey % 5 <> 4"""
+)
+def catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each nation in its region's namespace; even ones are renamed, every
+    fifth is dropped, and all creations come twice."""
+    tag = lambda t, c: F.concat(F.lit(t), _text(c))
+    nation, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    table = F.struct(tag("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), tag("r", "n_regionkey").alias("namespace_id"))
+    spaces = read(spark, sf_dir, "region").select(tag("1", "r_regionkey").alias("event_id"), F.lit("namespace.created").alias("kind"), F.to_json(F.struct(tag("r", "r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("payload"))
+    at = lambda n: F.concat(F.lit(n), F.lpad(_text("n_nationkey"), 3, "0"))
+    made = [nation.select(at(n), F.lit("table.created"), F.to_json(table)) for n in ("2", "3")]
+    renamed = nation.where(k % 2 == 0).select(at("4"), F.lit("table.renamed"), F.to_json(F.struct(tag("n", "n_nationkey").alias("id"), F.lower("n_name").alias("name"))))
+    dropped = nation.where(k % 5 == 4).select(at("5"), F.lit("table.deleted"), F.to_json(F.struct(tag("n", "n_nationkey").alias("id"))))
+    state = metastore.fold_catalog(spaces.union(made[0]).union(made[1]).union(renamed).union(dropped))
+    return spark.createDataFrame([(t["id"], t["name"], t["namespace_id"]) for t in state.rows["table"].values()], "id string, name string, namespace_id string")
+
+
+@query(
+    """SELECT 's' || CAST(s_suppkey AS VARCHAR) AS object_id, CASE s_suppkey % 3 WHEN 0 THEN 'PRINCIPAL' WHEN 1 THEN 'CREDENTIAL' ELSE 'TABLE' END AS object_type, s_name AS name, '9' AS ledger_watermark FROM supplier"""
+)
+def metastore_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of three kinds, without the columns that stay inside."""
+    k, none = F.col("s_suppkey") % 3, F.lit(None).cast("string")
+    kind = F.when(k == 0, "principal").when(k == 1, "credential").otherwise("securable")
+    records = read(spark, sf_dir, "supplier").select(
+        kind.alias("kind"), F.concat(F.lit("s"), _text("s_suppkey")).alias("object_id"), F.when(k == 2, "TABLE").alias("object_type"), F.col("s_name").alias("name"), none.alias("owner"),
+        F.lit("ACTIVE").alias("lifecycle_state"), F.lit(1).alias("updated_at"), F.lit(1).alias("sequence"), F.lit(0).alias("position"), F.lit(False).alias("deleted"), F.lit("hush").alias("secret"),
+    )
+    return metastore.safe_objects(metastore.replay(records), "9").select("object_id", "object_type", "name", "ledger_watermark")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS snapshot_id, c_custkey AS created_at FROM customer")
+def exact_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    want = schemas.schema("catalog.snapshots")
+    rows = _shaped(read(spark, sf_dir, "customer"), want, snapshot_id=F.col("c_custkey"), created_at=F.col("c_custkey"))
+    return schemas.require_exact(rows, "catalog.snapshots").select("snapshot_id", "created_at")
+
+
 # -- rules ------------------------------------------------------------------------------
 
 
