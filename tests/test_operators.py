@@ -290,3 +290,20 @@ def test_checks_edge_cases(spark):
     got = {r.name: r.passed for r in checks.run_checks(df, todo, previous_rows=10, now="2024-01-01", phase="post").collect()}
     assert got == {"r": False, "ratio": False, "n": True, "u": True, "f": False}
     assert checks.run_checks(df, []).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "date", "string"])
+def test_latest_mapping_over_stretches(spark, kind):
+    import datetime
+    import random
+
+    r = random.Random(1)
+    make = {
+        "long": lambda: r.randint(-20000, 20000),
+        "date": lambda: datetime.date(2020, 1, 1) + datetime.timedelta(r.randint(0, 900)),
+        "string": lambda: "".join(r.choice("abc") for _ in range(r.randint(0, 10))),
+    }[kind]
+    down, up = [make() for _ in range(60)], [make() for _ in range(30)]
+    df = lambda keys: spark.createDataFrame([(x,) for x in keys], f"key {kind}")
+    got = {tuple(x) for x in joins.map_partitions(df(down), df(up), "latest").collect()}
+    assert got == {(x, max(y for y in up if y <= x)) for x in down if any(y <= x for y in up)}
