@@ -199,6 +199,17 @@ def test_permissions(spark):
     assert {r.reason for r in joins.decide(req, compiled, fresh=False).collect()} == {"stale_projection"}
 
 
+def test_hot_group_is_spread(spark, monkeypatch):
+    """Every row with every row of a key, over many tasks, and nothing is shuffled after."""
+    monkeypatch.setattr(joins, "_SIDE", 8)
+    a = spark.createDataFrame([("g" if i else "h", i) for i in range(41)], "k string, a int")
+    b = spark.createDataFrame([("g", i) for i in range(37)] + [("h", 1), ("x", 2)], "k string, b int")
+    out = joins._each_with_each(a, b, "k")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, a.join(b, "k").collect()))
+    tasks = out.where("k = 'g'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 40 * 37 / 2
+
+
 def test_month_windows(spark):
     d = spark.createDataFrame([("2024-03-01",)], "key string")
     u = spark.createDataFrame([("2024-01-01",), ("2024-02-01",), ("2024-03-01",), ("2024-04-01",)], "key string")
