@@ -130,3 +130,18 @@ def test_dialect(spark):
     assert g.nulls_last("a, b desc, c nulls first") == "a NULLS LAST, b desc NULLS FIRST, c nulls first"
     sql = g.translate_functions("select strpos('ab', 'b') as x, 'strpos(' as t, array_to_string(make_array('a', 'b'), '-') as y")
     assert tuple(spark.sql(sql).first()) == (2, "strpos(", "a-b")
+
+
+def test_recursion_beyond_sparks_row_limit(spark):
+    """The whole result, while the session's limit is the same after as before."""
+    key = "spark.sql.cteRecursionRowLimit"
+    text = "WITH RECURSIVE up(node, pos) AS (SELECT id, id FROM t UNION ALL SELECT node, pos - 1 FROM up WHERE pos > 0) SELECT node, count(*) AS n FROM up GROUP BY node"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        parsed = g.parse(spark, text)
+        got = g.bind_views(spark, parsed, {("t",): spark.range(20)}).collect()
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, old)
+    assert sorted(map(tuple, got)) == [(i, i + 1) for i in range(20)]
