@@ -101,6 +101,21 @@ def test_stages(spark):
         graph.stage_levels(nodes, edges.union(spark.createDataFrame([("d", "a")], edges.schema)))
 
 
+def test_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    """No round of a closure, of stages or of a spread broadcasts its edges or frontier."""
+    plans, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    nodes = spark.range(1, 8).toDF("node")
+    edges = spark.range(2, 8).select(F.floor(F.col("id") / 2).cast("long").alias("src"), F.col("id").alias("dst"))
+    assert graph.closure(edges, spark.range(1, 2).toDF("node")).count() == 7
+    assert {r.node: r.stage for r in graph.stage_levels(nodes, edges).collect()} == {1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 2}
+    tasks = nodes.withColumn("state", F.lit("BLOCKED"))
+    new, _ = graph.propagate_failures(tasks, edges, spark.createDataFrame([(3, "FAILED")], "node long, resolution string"))
+    assert {r.node for r in new.where("state = 'SKIPPED'").collect()} == {6, 7}
+    assert graph.pairs_closure(edges.toDF("parent", "child")).count() == 17
+    assert len(plans) > 15 and not any("Broadcast" in p for p in plans)
+
+
 def test_failures_stop_at_terminal_tasks(spark):
     tasks = spark.createDataFrame([("a", "FAILED"), ("b", "BLOCKED"), ("c", "SUCCEEDED"), ("d", "BLOCKED"), ("e", "BLOCKED")], "node string, state string")
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("b", "e")], "src string, dst string")
