@@ -174,6 +174,16 @@ def test_bundles(spark, tmp_path):
         ledger.write_bundle(spark.createDataFrame(bad, cols), str(tmp_path / "b"))
 
 
+def test_bundle_problems_expand_no_rows(spark):
+    """Missing ids count as repeated, missing keys as no value; rows aren't multiplied."""
+    cols = "bundle_id string, tenant_id string, workspace_id string, run_id string, task_key string, attempt_id string, producer_id string, event_id string, producer_seq long, bundle_event_count int, bundle_min_producer_seq long, bundle_max_producer_seq long"
+    rows = [("b", "t", None, "r", "k", "a", "p", None, 0, 2, 0, 1), ("b", "t", "w", "r", "k", "a", "p", "1", 1, 2, 0, 1)]
+    rows += [("c", "t", "w", "r", "k", "a", "p", str(i), None if i else 0, 2, 0, 0) for i in range(2)]
+    got = ledger.bundle_problems(spark.createDataFrame(rows, cols))
+    assert sorted(map(tuple, got.collect())) == [("b", "repeated event_id"), ("c", "repeated producer_seq")]
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_delta_log(spark, tmp_path):
     log = tableformats.DeltaLog(spark, f"file://{tmp_path}/d")
     add = lambda p: [{"add": {"path": p}}]
