@@ -225,6 +225,19 @@ def test_hot_group_is_spread(spark, monkeypatch):
     assert len(tasks) == 4 and max(r["count"] for r in tasks) < 40 * 37 / 2
 
 
+def test_live_postings_are_not_sorted(spark):
+    found = spark.createDataFrame([("a", str(i)) for i in range(5)] + [("b", "x"), (None, "y")], "doc_id string, token string")
+    gone = spark.createDataFrame([("b", 100), ("b", 90), ("a", 10)], "doc_id string, expires_at long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rules.live_postings(found, gone, 50)
+        assert sorted(r.token for r in out.collect()) == ["0", "1", "2", "3", "4", "y"]
+        assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_month_windows(spark):
     d = spark.createDataFrame([("2024-03-01",)], "key string")
     u = spark.createDataFrame([("2024-01-01",), ("2024-02-01",), ("2024-03-01",), ("2024-04-01",)], "key string")
