@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -65,6 +66,20 @@ def well_formed(kind: str, body: Any) -> bool:
     return body.get("visibility") is None or well_formed("", body["visibility"])
 
 
+def _parsed(kind: str, payload: str) -> dict | None:
+    """A payload that is well formed for its event, else None."""
+    try:
+        body = json.loads(payload)
+    except ValueError:
+        return None
+    return body if well_formed(kind, body) else None
+
+
+#: Transitions only read what they are given, so short payloads, often repeated, are parsed once.
+_parsed_once = lru_cache(maxsize=1 << 14)(_parsed)
+_SHORT = 1024
+
+
 class Machine:
     """Applies events in order; ``on`` maps an event type to its transition."""
 
@@ -77,11 +92,9 @@ class Machine:
         step = self.on.get(kind)
         if step is None or event_id is None or (key is not None and key in self.applied):
             return False
-        try:
-            body = json.loads(payload or "")
-        except ValueError:
-            return False
-        if not well_formed(kind, body):
+        payload = payload or ""
+        body = (_parsed_once if len(payload) <= _SHORT else _parsed)(kind, payload)
+        if body is None:
             return False
         done = bool(step(self, body, event_id, int(ts)))
         if done and key is not None:
@@ -570,8 +583,9 @@ def _rows_of(m: Machine, key: str) -> Iterator[tuple[str, str, dict]]:
 MACHINES: dict[str, type] = {"run_id": RunMachine, "sensor_id": SensorMachine, "backfill_id": BackfillMachine}
 
 
-def fold_events(events: DataFrame, by: str) -> DataFrame:
-    """Final rows of every key's machine as JSON, by entity.  ``events`` carry the key in
+def fold_events(events: DataFrame, by: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """Final rows of every key's machine as JSON, by entity; with ``only`` those of the
+    entities named, all events being folded just the same.  ``events`` carry the key in
     column ``by`` (run_id, sensor_id or backfill_id).  Keys are dealt out by hash and come
     to their task in order, so a machine holds one key's rows and no more.
 
@@ -584,21 +598,21 @@ def fold_events(events: DataFrame, by: str) -> DataFrame:
     named = slim.where(F.col("idempotency_key").isNotNull()).groupBy("idempotency_key").agg(F.min(by).alias("a"), F.max(by).alias("b"))
     shared = cut(named.where("a <> b").select("idempotency_key"))
     if shared.isEmpty():
-        return _folded(slim, by)
+        return _folded(slim, by, only=only)
     touched = cut(slim.join(shared, "idempotency_key").select(by).distinct())
     some = slim.join(touched, by)
     banned = cut(some.select(by, "event_id").limit(0))
     while True:
-        got = cut(_folded(some.join(banned, [by, "event_id"], "left_anti"), by, told=True))
+        got = cut(_folded(some.join(banned, [by, "event_id"], "left_anti"), by, told=True, only=only))
         applied = got.where("entity = 'applied'").select(F.col("entity_key").alias("idempotency_key"), F.col("row_version").alias("event_id"))
         first = applied.join(shared, "idempotency_key").groupBy("idempotency_key").agg(F.min("event_id").alias("first"))
         late = cut(some.join(first, "idempotency_key").where("event_id > first").select(by, "event_id").distinct())
         if late.exceptAll(banned).isEmpty() and banned.exceptAll(late).isEmpty():
-            return _folded(slim.join(touched, by, "left_anti"), by).union(got.where("entity <> 'applied'"))
+            return _folded(slim.join(touched, by, "left_anti"), by, only=only).union(got.where("entity <> 'applied'"))
         banned = late
 
 
-def _folded(slim: DataFrame, by: str, told: bool = False) -> DataFrame:
+def _folded(slim: DataFrame, by: str, told: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
     """One pass over the machines; with ``told`` also a row for each applied idempotency key."""
     make = MACHINES[by]
     names = ("event_id", "event_type", "idempotency_key", "ts", "payload")
@@ -609,7 +623,7 @@ def _folded(slim: DataFrame, by: str, told: bool = False) -> DataFrame:
 
         def close() -> None:
             if machine is not None:
-                out.extend((now, e, k, r.get("row_version"), json.dumps(r, sort_keys=True)) for e, k, r in _rows_of(machine, now))
+                out.extend((now, e, k, r.get("row_version"), json.dumps(r, sort_keys=True)) for e, k, r in _rows_of(machine, now) if not only or e in only)
 
         def give() -> pa.RecordBatch:
             cols = list(zip(*out)) or [[]] * 5

@@ -268,3 +268,13 @@ def test_stream_emits_only_what_changed(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [x for x in out if x] == [[("run", "r"), ("task", "x"), ("task", "y")], [("task", "x")]]
+
+
+def test_only_the_wanted_entities_and_shared_payloads(spark):
+    """Runs with equal payloads keep states of their own; entities not asked for are not given."""
+    events = [(r, f"{r}{i}", kind, f"{r}{i}", 1, json.dumps(body)) for r in ("r1", "r2") for i, (kind, body) in enumerate([RUN, PLAN, started("a"), done("a")])]
+    df = spark.createDataFrame(events[:-1], EVENTS)
+    whole = fold.fold_events(df, "run_id").collect()
+    some = fold.fold_events(df, "run_id", only=("run",)).collect()
+    assert sorted(some) == sorted(x for x in whole if x.entity == "run") and len(some) == 2
+    assert {x.fold_key: json.loads(x.state)["tasks_succeeded"] for x in some} == {"r1": 1, "r2": 0}
