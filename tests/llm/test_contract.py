@@ -79,6 +79,11 @@ def test_whole_by_sql(duck, results, name):
     same(results(name), duck.sql(queries.oracle_sql()[name]))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_columns_are_those_of_the_sql(duck, results, name):
+    assert results(name).columns == duck.sql(queries.oracle_sql()[name]).columns
+
+
 def test_shards_are_even_and_numbered(results):
     rows = results("op3_karmarkar_karp_sharding").collect()
     loads, slots = [0] * 16, [[] for _ in range(16)]
