@@ -112,3 +112,35 @@ def test_matching_statistics():
                     k += 1
                 best = max(best, k)
         assert got[p] == best
+
+
+def test_matching_statistics_to_a_depth():
+    """The same up to the depth; beyond it, only that they reach it."""
+    r = np.random.default_rng(3)
+    part = r.integers(97, 100, size=90).astype(np.uint8)
+    pieces = [part, part[20:], part[30:70], np.full(60, 97, np.uint8), r.integers(97, 99, size=300).astype(np.uint8), part]
+    text = np.concatenate(pieces)
+    left = np.concatenate([np.arange(len(x), 0, -1) for x in pieces])
+    whole = rindex.matching_statistics(text, left)
+    for depth in range(1, 80):
+        got = rindex.matching_statistics(text, left, depth)
+        assert (np.minimum(got, depth) == np.minimum(whole, depth)).all()
+        assert (got <= whole).all()
+
+
+def test_segments_that_share_only_their_minimizer_are_not_indexed():
+    p = rindex.Params(length=40, gram=12, words=0)
+    r = random.Random(6)
+    made = lambda n: "".join(r.choice("abcdefgh") for _ in range(n)).encode()
+    gram = made(12)
+    tail = made(28)
+    # one key: unlike surroundings, a shared window at the end, one at the start, a repeat of its own
+    parts = [made(28) + gram + made(28) for _ in range(40)]
+    parts += [made(9) + gram + tail + made(5), made(20) + gram + tail, tail + gram + made(7), made(3) + tail + gram]
+    parts += [gram + made(16) + gram + made(16) + gram, (gram + tail[:10]) * 4]
+    other = [made(4) + gram + tail]  # in another key
+    size = np.array([len(x) for x in parts + other])
+    pivot = np.array([x.index(gram) for x in parts + other])
+    key = np.array([-5] * len(parts) + [7])
+    got = rindex.may_match(np.frombuffer(b"".join(parts + other), np.uint8), size, key, pivot, p)
+    assert np.flatnonzero(got).tolist() == [40, 41, 42, 43, 45]
