@@ -225,6 +225,27 @@ def test_hot_group_is_spread(spark, monkeypatch):
     assert len(tasks) == 4 and max(r["count"] for r in tasks) < 40 * 37 / 2
 
 
+def test_permissions_multiply_last(spark, monkeypatch):
+    """Members stay in arrays up to the last step, in as many even tasks as the rows call
+    for; a group that owns manages, its members don't."""
+    monkeypatch.setattr(joins, "_SIDE", 8)
+    monkeypatch.setattr(joins, "_TASK", 500, raising=False)
+    below = [f"t{i}" for i in range(40)]
+    users = [f"u{i}" for i in range(100)]
+    objects = spark.createDataFrame([("c", "CATALOG", None, "team"), *((t, "TABLE", "c", None) for t in below)], "object_id string, object_type string, parent_object_id string, owner_principal_id string")
+    grants = spark.createDataFrame([("g", "c", "team", "SELECT", False)], "grant_id string, object_id string, principal_id string, privilege string, grant_option boolean")
+    members = spark.createDataFrame([(u, "team") for u in users], "child string, parent string")
+    principals = spark.createDataFrame([(p, "ACTIVE", "USER") for p in ["team", *users]], "principal_id string, lifecycle_state string, principal_kind string")
+    out = joins.compile_permissions(objects, grants, members, principals)
+    kind = lambda o: "CATALOG" if o == "c" else "TABLE"
+    want = [(o, p, "SELECT", "grant", "g", "c", False, kind(o)) for o in ["c", *below] for p in ["team", *users]]
+    assert rows(out) == sorted([*want, ("c", "team", "MANAGE", "owner", None, "c", True, "CATALOG")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate explode(member") < plan.find("Join")
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(tasks) == 8 and max(tasks) < 1.5 * len(want) / 8
+
+
 def test_live_postings_are_not_sorted(spark):
     found = spark.createDataFrame([("a", str(i)) for i in range(5)] + [("b", "x"), (None, "y")], "doc_id string, token string")
     gone = spark.createDataFrame([("b", 100), ("b", 90), ("a", 10)], "doc_id string, expires_at long")
